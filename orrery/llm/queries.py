@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from orrery.llm import substring_dedup
+from orrery.llm import mixing, nearest, pii, secrets, substring_dedup
 
 QUERIES = {
+    "op1_source_mixing": mixing.op1,
+    "op2_nearest_neighbours": nearest.op2,
+    "op3_secret_scan": secrets.op3,
     "op6_substring_dedup": substring_dedup.op6,
+    "op9_pii": pii.op9,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: op2 is approximate and op3, op6, op9 are tested against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op1_source_mixing": mixing.OP1_SQL,
+}
