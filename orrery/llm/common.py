@@ -8,13 +8,12 @@ texts, so memory follows the batch and never the table.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from orrery.operators.lineage import staged  # noqa: F401  used by every operator here
+
 #: Odd multipliers of the polynomial (Rabin-Karp) hashes, modulo 2**64.
 BYTE_BASE = 0x9E3779B97F4A7C15
 TOKEN_BASE = 0xD6E8FEB86659FD93
@@ -34,23 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a local one is made only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="orrery-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: lineage ends there and no part is recomputed."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
