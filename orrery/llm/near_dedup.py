@@ -12,7 +12,7 @@ then sought among all members, until no two components share an unchecked key.
 
 Null, empty and blank texts have the empty set, n_shingles 0, and are their own
 component.  Rows without doc_id take no part: component null, kept true.  Rows
-that repeat a doc_id are one node.  An empty table gives no rows.
+that repeat a doc_id are one node of the graph, each with its own text's set.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -199,3 +199,12 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs without those that have a smaller doc_id in their component, unchanged.
+
+    Rows that share a doc_id go together, by the text that is a copy of an earlier one.
+    """
+    gone = linked(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

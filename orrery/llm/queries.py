@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from orrery.llm import mixing, nearest, pii, secrets, substring_dedup
+from orrery.llm import decontaminate, line_dedup, mixing, near_dedup, nearest, pii, quality, secrets, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
     "op2_nearest_neighbours": nearest.op2,
     "op3_secret_scan": secrets.op3,
+    "op4_quality_classifier": quality.op4,
+    "op5_near_dedup": near_dedup.op5,
     "op6_substring_dedup": substring_dedup.op6,
+    "op7_suffix_dedup": suffix_dedup.op7,
+    "op8_decontamination": decontaminate.op8,
     "op9_pii": pii.op9,
+    "op10_line_dedup": line_dedup.op10,
 }
 
-#: op2 is approximate and op3, op6, op9 are tested against brute force in tests/llm.
+#: op2 is approximate; the others without SQL are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mixing": mixing.OP1_SQL,
 }
