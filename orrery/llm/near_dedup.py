@@ -4,11 +4,13 @@ Signatures have SYMBOLS minima of 32 bits.  Cut into chunks of four, two
 signatures that differ in at most RADIUS symbols have, by pigeonhole, a chunk with
 at most one difference; each chunk is indexed four times, once with each symbol
 left out, so every such pair shares a key.  At similarity 0.75 a pair stays within
-RADIUS but for a chance of about 1e-6.  Every candidate is confirmed on full sets.
+RADIUS but for a chance of about 1e-6.  Every link is confirmed on full sets.
 
-Documents with equal sets are one class from the start.  A key links its members
-to a few leads each, never all pairs; links between what is not yet connected are
-then sought among all members, until no two components share an unchecked key.
+Documents with equal sets are one class from the start.  Classes that share a key,
+directly or over others, form a cluster of candidates; no candidate pair is ever
+written out.  A cluster's texts come to one place once, in blocks of bounded size
+(every two blocks of a large cluster together), and an inverted index of their
+shingles counts the exact intersections.
 
 Null, empty and blank texts have the empty set, n_shingles 0, and are their own
 component.  Rows without doc_id take no part: component null, kept true.  Rows
@@ -29,7 +31,8 @@ PERCENT = 75
 CHUNK, CHUNKS = 4, 20
 SYMBOLS = CHUNK * CHUNKS
 RADIUS = 2 * CHUNKS - 1
-LEADS = 3  #: rankings by which keys choose their leads
+#: Shingles of one block of candidates: what one task holds at a time, twice for a pair of blocks.
+BLOCK_SHINGLES = 1_000_000
 _MULTIPLIERS = np.random.default_rng(41).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -99,71 +102,80 @@ def keys_of(batches):
 
 
 def shared_keys(batches):
-    """Rows sorted by (key, rank) to (key, lead, id) of the keys with more than one id; the lead is its first."""
-    held = None  # the last row's (key, lead, id), and whether it is still to be given
+    """Rows sorted by (key, id) to (lead, id) of each key's least id and its others; a single row is kept between batches."""
+    last_key = last_lead = None
     for batch in batches:
         if not batch.num_rows:
             continue
         key, ids = batch.column("key").to_numpy(zero_copy_only=False), batch.column("id").to_numpy(zero_copy_only=False)
-        pending = False
-        if held is not None:
-            key, ids = np.concatenate([[held[0]], key]), np.concatenate([[held[2]], ids])
-            pending = True
         new = np.ones(len(key), dtype=bool)
         new[1:] = key[1:] != key[:-1]
-        head = np.flatnonzero(new)
-        lead = ids[head][np.cumsum(new) - 1]
-        if pending:
-            lead[: (head[1] if len(head) > 1 else len(key))] = held[1]
-        many = ~new
-        many[:-1] |= ~new[1:]
-        if pending:
-            if held[3]:
-                many[0] = False  # given before
-        give = many.copy()
-        # the last row may get company in the next batch
-        held = (key[-1], lead[-1], ids[-1], bool(many[-1]) or (pending and len(key) == 1 and held[3]))
-        yield pa.RecordBatch.from_arrays([pa.array(key[give]), pa.array(lead[give]), pa.array(ids[give])], names=["key", "lead", "id"])
-
-
-def alike(batches):
-    """Pairs whose signatures are within RADIUS and whose sizes allow the similarity."""
-    for batch in batches:
-        if not batch.num_rows:
-            yield batch.select(["a", "b"])
-            continue
-        a = text_bytes(batch.column("sig_a"))[0].view(np.uint32).reshape(-1, SYMBOLS)
-        b = text_bytes(batch.column("sig_b"))[0].view(np.uint32).reshape(-1, SYMBOLS)
-        n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_a", "n_b"))
-        good = ((a != b).sum(1) <= RADIUS) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
-        yield batch.select(["a", "b"]).filter(pa.array(good))
+        lead = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+        if last_key is not None and key[0] == last_key:
+            lead[key == last_key] = last_lead
+        last_key, last_lead = key[-1], lead[-1]
+        give = lead != ids
+        yield pa.RecordBatch.from_arrays([pa.array(lead[give]), pa.array(ids[give])], names=["src", "dst"])
+
 
+def links_between(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links of the similarity between sets marked left and sets marked right that join what was apart; the rest follow from them.
 
-def confirm(batches):
-    """(a, b) whose full sets reach the similarity; rows come sorted by a, whose set is kept from row to row."""
-    last_id, last_text, last = None, None, None
+    Exact intersections of one set with all others come from an inverted index.
+    """
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    posting, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(term))])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i in np.flatnonzero(left).tolist():
+        terms = term[at[i] : at[i + 1]]
+        lo, n = starts[terms], starts[terms + 1] - starts[terms]
+        where = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(posting[where], minlength=len(sets))
+        linked = (100 * both >= PERCENT * (sizes[i] + sizes - both)) & right
+        for j in np.flatnonzero(linked).tolist():
+            a, b = find(i), find(j)
+            if a != b:
+                root[b] = a
+                out.append((i, j))
+    return out
+
+
+def verified(batches):
+    """(src, dst) from candidate rows (cluster, lo, hi, block, id, text) sorted by (cluster, lo, hi): confirmed links of each pair of blocks."""
+
+    def solve(rows):
+        _, lo, hi = rows[0][0]
+        block, ids = np.array([r[1] for r in rows]), [r[2] for r in rows]
+        found = links_between([r[3] for r in rows], block == lo, block == hi)
+        return [(ids[i], ids[j]) for i, j in found if ids[i] != ids[j]]
+
+    group: list[tuple] = []
     for whole in batches:
-        for batch in slices(whole, "text_b"):
-            sets = shingle_sets(*text_bytes(batch.column("text_b")))
-            good = []
-            for i, (a, text) in enumerate(zip(batch.column("a").to_pylist(), batch.column("text_a"))):
-                if a != last_id or last_text != text:
-                    last_id, last_text = a, text
-                    last = shingle_sets(*text_bytes(batch.column("text_a").slice(i, 1)))[0]
-                both = len(np.intersect1d(last, sets[i], assume_unique=True))
-                good.append(100 * both >= PERCENT * (len(last) + len(sets[i]) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-
-def confirmed(pairs: DataFrame, described: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that signatures allow and full sets confirm, written once."""
-    sig = lambda s: described.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
-    near = staged(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(alike, "a long, b long"))
-    text = lambda s: docs.select(F.col("doc_id").alias(s), F.col("text").alias(f"text_{s}"))
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    docs = docs.join(wanted, "doc_id", "left_semi")
-    met = near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").sortWithinPartitions("a", "b")
-    return staged(met.mapInArrow(confirm, "a long, b long").distinct())
+        out = []
+        for batch in slices(whole):
+            sets = shingle_sets(*text_bytes(batch.column("text")))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "lo", "hi"))))
+            for key, block, doc, members in zip(keys, batch.column("block").to_pylist(), batch.column("id").to_pylist(), sets):
+                if group and group[0][0] != key:
+                    out += solve(group)
+                    group = []
+                group.append((key, block, doc, members))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["src", "dst"])
+    if group:
+        out = solve(group)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["src", "dst"])
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -176,21 +188,15 @@ def linked(docs: DataFrame) -> DataFrame:
         all_rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("id"))
     )
     keys = classes.select("id", "sig").mapInArrow(keys_of, "key long, id long")
-    # a key's lead is the least under one of a few rankings, so that members do not all hang on one document
-    rank = F.xxhash64("id", F.pmod("key", F.lit(LEADS)))
-    buckets = staged(keys.repartition(n, "key").sortWithinPartitions("key", rank, "id").mapInArrow(shared_keys, "key long, lead long, id long"))
-    first = staged(buckets.where("lead <> id").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct())
-    edges = confirmed(first, classes, docs.where("doc_id IS NOT NULL AND text IS NOT NULL"))
-    joined = staged(components(edges, "a", "b"))
-    # members of one key that are still apart
-    placed = buckets.select("key", "id").distinct().join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    placed = staged(placed.join(apart, "key"))
-    x, y = placed.toDF("key", "a", "ca"), placed.toDF("key", "b", "cb")
-    rest = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = confirmed(rest, classes, docs.where("doc_id IS NOT NULL AND text IS NOT NULL"))
-    if more.limit(1).count():
-        joined = components(edges.unionByName(more), "a", "b")
+    stars = staged(keys.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(shared_keys, "src long, dst long").distinct())
+    cluster = staged(components(stars).toDF("id", "cluster").join(classes.select("id", "n_shingles").distinct(), "id"))
+    blocks = cluster.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = cluster.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
+    met = placed.select("id", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).join(texts, "id")
+    met = met.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "text")
+    edges = staged(met.repartition(n, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(verified, "src long, dst long"))
+    joined = components(edges)
     found = classes.join(joined, "id", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "id").alias("component"))
     out = all_rows.drop("sig").join(found, ["n_shingles", "h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
