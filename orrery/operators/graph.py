@@ -35,3 +35,139 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         now = staged(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     return nodes.join(now.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
+
+
+def largest(nodes: DataFrame, edges: DataFrame, n: int = 1, key: str = "id") -> DataFrame:
+    """The nodes of the n largest components, ties to the least component; nodes without edges are components of one."""
+    from pyspark.sql import Window as W
+
+    placed = nodes.join(components(edges).withColumnRenamed("id", key), key, "left").withColumn("component", F.coalesce("component", key))
+    sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
+    top = sizes.withColumn("rank", F.row_number().over(W.orderBy(F.desc("size"), "component"))).where(F.col("rank") <= n)
+    return placed.join(top.select("component", "size"), "component")
+
+
+def bridge(nodes: DataFrame, edges: DataFrame, dims: list[str], gamma: float = 1.0, vector: str | None = None, factor: float = 100.0, rounds: int = 32) -> DataFrame:
+    """Edges (src, dst, weight) that join all components.
+
+    In rounds, each component adds its nearest link to another one (least distance,
+    then ids), doubles dropped, at ``factor`` times the edge weight, until one is
+    left; components at least halve.
+    """
+    from orrery.functions.vectors import cosine, edge_weight
+
+    links = edges.select("src", "dst")
+    added = None
+    for _ in range(rounds):
+        placed = staged(nodes.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id")))
+        if placed.select("component").distinct().limit(2).count() < 2:
+            break
+        a, b = placed.alias("l"), placed.alias("r")
+        from orrery.operators.spatial import distance2
+
+        pairs = a.join(b, F.col("l.component") != F.col("r.component")).withColumn("d", F.sqrt(distance2(dims)))
+        best = pairs.groupBy(F.col("l.component").alias("c")).agg(F.min(F.struct("d", F.least("l.id", "r.id").alias("src"), F.greatest("l.id", "r.id").alias("dst"))).alias("m"))
+        new = best.select("m.src", "m.dst", "m.d").distinct()
+        if vector:
+            u = nodes.select(F.col("id").alias("src"), F.col(vector).alias("_u"))
+            v = nodes.select(F.col("id").alias("dst"), F.col(vector).alias("_v"))
+            new = new.join(u, "src").join(v, "dst").select("src", "dst", (factor * edge_weight(F.col("d"), cosine(F.col("_u"), F.col("_v")), gamma)).alias("weight"))
+        else:
+            new = new.select("src", "dst", (factor * F.col("d")).alias("weight"))
+        new = staged(new)
+        added = new if added is None else added.unionByName(new)
+        links = links.unionByName(new.select("src", "dst"))
+    return added if added is not None else edges.select("src", "dst", F.lit(0.0).alias("weight")).limit(0)
+
+
+def shortest_path(edges: DataFrame, start: int, goal: int, weight: str = "weight", rounds: int = 10_000) -> DataFrame:
+    """(seq, node, cost) along the cheapest way from start to goal, both directions of an edge alike; empty if there is none.
+
+    Relaxation from the frontier: a round offers its neighbours only what the last
+    round improved.  Edges of infinite weight are not taken.  Ties go to the smaller
+    parent.
+    """
+    spark = edges.sparkSession
+    both = edges.select("src", "dst", F.col(weight).cast("double").alias("w")).where(F.col("w").isNotNull() & (F.col("w") < float("inf")))
+    both = staged(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.min("w").alias("w")))
+    schema = "node long, cost double, parent long"
+    known = spark.createDataFrame([(start, 0.0, None)], schema)
+    frontier = known
+    for i in range(rounds):
+        offers = frontier.join(both, frontier["node"] == both["src"]).groupBy("dst").agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("node").alias("parent"))).alias("o"))
+        offers = offers.select(F.col("dst").alias("node"), F.col("o.cost").alias("new"), F.col("o.parent").alias("via"))
+        better = offers.join(known, "node", "left").where(F.col("cost").isNull() | (F.col("new") < F.col("cost"))).select("node", F.col("new").alias("cost"), F.col("via").alias("parent"))
+        frontier = staged(better)
+        if frontier.isEmpty():
+            break
+        known = staged(known.join(frontier, "node", "left_anti").unionByName(frontier))
+    steps, at = [], goal
+    row = known.where(F.col("node") == at).first()
+    while row is not None:  # the path itself, one row a step
+        steps.append((row["node"], row["cost"]))
+        row = known.where(F.col("node") == row["parent"]).first() if row["parent"] is not None else None
+    steps.reverse()
+    return spark.createDataFrame([(i, n, c) for i, (n, c) in enumerate(steps)], "seq long, node long, cost double")
+
+
+def closure(nodes: DataFrame, edges: DataFrame, depth: int = 16) -> DataFrame:
+    """(root, id, level) of everything below each node, by edges to lower levels down to level 1."""
+    levels = nodes.select("id", "level")
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    up, down = levels.toDF("src", "above"), levels.toDF("dst", "below")
+    steps = staged(both.join(up, "src").join(down, "dst").where("below >= 1 AND below < above").select("src", "dst", "below").distinct())
+    now = steps.select(F.col("src").alias("root"), F.col("dst").alias("id"), F.col("below").alias("level"))
+    out = now
+    for _ in range(depth):
+        now = staged(now.join(steps, now["id"] == steps["src"]).select("root", F.col("dst").alias("id"), F.col("below").alias("level")).distinct())
+        if now.isEmpty():
+            break
+        out = out.unionByName(now)
+    return out.distinct()
+
+
+def descend(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id) of the places (level 1) below each root; a place is its own."""
+    below = closure(nodes, edges).where("level = 1").select("root", "id")
+    own = roots.join(nodes.where("level = 1").select(F.col("id").alias("root")), "root", "left_semi").select("root", F.col("root").alias("id"))
+    return roots.join(below, "root").select("root", "id").unionByName(own).distinct()
+
+
+def bottom_regions(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id) of the regions at or below each root that have a place for a neighbour, not passing below one."""
+    levels = nodes.select("id", "level")
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    steps = staged(both.join(levels.toDF("src", "above"), "src").join(levels.toDF("dst", "below"), "dst").select("src", "dst", "above", "below"))
+    ends = steps.where("below = 1 AND above > 1").select(F.col("src").alias("id")).distinct()
+    now, found = roots.select("root", F.col("root").alias("id")), None
+    for _ in range(16):
+        hit = now.join(ends, "id", "left_semi")
+        found = hit if found is None else found.unionByName(hit)
+        rest = now.join(ends, "id", "left_anti")
+        now = staged(rest.join(steps.where("below >= 2 AND below < above"), rest["id"] == steps["src"]).select("root", F.col("dst").alias("id")).distinct())
+        if now.isEmpty():
+            break
+    return found.select("root", "id").distinct()
+
+
+def children(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(region, place) of every region's neighbours of level 1."""
+    levels = nodes.select("id", "level")
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return both.join(levels.toDF("src", "above"), "src").join(levels.toDF("dst", "below"), "dst").where("above > 1 AND below = 1").select(F.col("src").alias("region"), F.col("dst").alias("place")).distinct()
+
+
+def subgraph(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """U4: the edges with both ends among ``chosen`` (id)."""
+    ids = chosen.select("id").distinct()
+    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+
+
+def undirected(edges: DataFrame) -> DataFrame:
+    """Each unordered pair once, no self edges."""
+    return edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """G13"""
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
