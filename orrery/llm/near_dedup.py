@@ -193,7 +193,7 @@ def linked(docs: DataFrame) -> DataFrame:
     blocks = cluster.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     placed = cluster.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    met = placed.select("id", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).join(texts, "id")
+    met = placed.select("id", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).hint("merge").join(texts, "id")
     met = met.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "text")
     edges = staged(met.repartition(n, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(verified, "src long, dst long"))
     joined = components(edges)
