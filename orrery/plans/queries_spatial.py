@@ -10,7 +10,7 @@ from orrery.operators import asof, cluster, graph, raster, spatial
 from orrery.plans.queries_relational import EDGES, PTS, VEC, points, r6, similar_edges, vecs
 from orrery.plans.registry import Tables, query
 
-STAMPS = "st AS (SELECT event_id, event_type, user_id, epoch(ts)::BIGINT AS ts FROM events)"
+STAMPS = "st AS (SELECT event_id, event_type, user_id, floor(epoch(ts))::BIGINT AS ts FROM events)"
 
 
 def stamps(t: Tables) -> DataFrame:
@@ -293,10 +293,10 @@ def r15(t: Tables) -> DataFrame:
 DB_POINTS = "p AS (SELECT event_id AS id, round(value, 3) AS x, user_id::DOUBLE AS y FROM events WHERE event_id <= 3000)"
 
 
-@query("c2_dbscan", f"WITH RECURSIVE {DB_POINTS}, pr AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1.0), core AS (SELECT a FROM pr GROUP BY a HAVING count(*) >= 4), l AS (SELECT a, b FROM pr WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)), reach(id, root) AS (SELECT a, a FROM core UNION SELECT l.b, reach.root FROM reach JOIN l ON l.a = reach.id), lab AS (SELECT id, min(root) AS c FROM reach GROUP BY id), bd AS (SELECT pr.a, min(lab.c) AS c FROM pr JOIN lab ON pr.b = lab.id GROUP BY 1) SELECT p.id, coalesce(lab.c, bd.c) AS cluster FROM p LEFT JOIN lab ON lab.id = p.id LEFT JOIN bd ON bd.a = p.id")
+@query("c2_dbscan", f"WITH RECURSIVE {DB_POINTS}, pr AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1.0), core AS (SELECT a FROM pr GROUP BY a HAVING count(*) >= 4), l AS (SELECT a, b FROM pr WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)), reach(id, root) AS (SELECT a, a FROM core UNION SELECT l.b, reach.root FROM reach JOIN l ON l.a = reach.id), lab AS (SELECT id, min(root) AS c FROM reach GROUP BY id), bd AS (SELECT pr.a, min(lab.c) AS c FROM pr JOIN lab ON pr.b = lab.id GROUP BY 1) SELECT p.id, coalesce(lab.c, bd.c, -1) AS cluster FROM p LEFT JOIN lab ON lab.id = p.id LEFT JOIN bd ON bd.a = p.id")
 def c2(t: Tables) -> DataFrame:
     p = t.events.where("event_id <= 3000").select(F.col("event_id").alias("id"), F.round("value", 3).alias("x"), F.col("user_id").cast("double").alias("y"))
-    return cluster.dbscan(p, "id", ["x", "y"], 1.0, 4)
+    return cluster.dbscan(p, "id", ["x", "y"], 1.0, 4).fillna(-1, ["cluster"])
 
 
 @query("c1_mask_cluster")
