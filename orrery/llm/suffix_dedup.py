@@ -30,7 +30,7 @@ from orrery.llm.repeats import merged
 WIDTH = 400
 GRAM = 128
 #: Contexts sorted at once, in bytes: names of all levels then fit 21 bits.
-SORT_BYTES = 2_000_000
+SORT_BYTES = 1_000_000
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
