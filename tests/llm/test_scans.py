@@ -174,7 +174,7 @@ def kneser_ney(train: list[list[str]], order: int = 3):
     def discount(n):
         k = [0] + [sum(c == j for c in grams[n].values()) for j in (1, 2, 3, 4)]
         y = k[1] / max(k[1] + 2 * k[2], 1)
-        return [0] + [min(max(j - (j + 1) * y * k[j + 1] / k[j], 0), j) if k[j] else 0.5 * j for j in (1, 2, 3)]
+        return [0] + [min(max(j - (j + 1) * y * k[j + 1] / k[j], 0.1), j) if k[j] else 0.5 * j for j in (1, 2, 3)]
 
     d = [None] + [discount(n) for n in (1, 2, 3)]
     off = lambda n, c: d[n][min(c, 3)]
