@@ -72,3 +72,38 @@ def node_ratio(counts: DataFrame) -> DataFrame:
     """(a, b, ratio) of the node counts of every two scenes."""
     a, b = counts.toDF("a", "na"), counts.toDF("b", "nb")
     return a.join(F.broadcast(b), F.lit(True)).select("a", "b", (F.col("na") / F.col("nb")).alias("ratio"))
+
+
+def top_share(scores: DataFrame, task: str, share: float = 0.9) -> DataFrame:
+    """Rows whose score exceeds ``share`` of their task's largest."""
+    from pyspark.sql import Window as W
+
+    return scores.withColumn("_max", F.max("score").over(W.partitionBy(task))).where(F.col("score") > share * F.col("_max")).drop("_max")
+
+
+def box_precision(matches: DataFrame, found: DataFrame) -> DataFrame:
+    """Relaxed and strict share of found boxes that match; 0 where nothing was found."""
+    total = found.agg(F.count("*").alias("n"))
+    sums = matches.agg(F.count(F.when(F.col("gt_in_pred"), 1)).alias("r"), F.count(F.when(F.col("gt_in_pred") & F.col("pred_in_gt"), 1)).alias("s"))
+    return sums.join(total, F.lit(True)).select(ratio(F.col("r"), F.col("n")).alias("relaxed"), ratio(F.col("s"), F.col("n")).alias("strict"))
+
+
+def field_totals(judged: DataFrame, truth: DataFrame, share: float = 0.9) -> DataFrame:
+    """Accuracy over each task's first N (its ground truth) objects, precision over its top share, and F1.
+
+    ``judged`` is (task, object, score, correct), ``truth`` (task, n).
+    """
+    from pyspark.sql import Window as W
+
+    rank = F.row_number().over(W.partitionBy("task").orderBy(F.desc("score"), "object"))
+    first = judged.withColumn("_r", rank).join(truth, "task").where(F.col("_r") <= F.col("n"))
+    hits = first.agg(F.coalesce(F.sum(F.col("correct").cast("long")), F.lit(0)).alias("hits"))
+    wanted = truth.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("wanted"))
+    top = top_share(judged, "task", share).agg(F.coalesce(F.sum(F.col("correct").cast("long")), F.lit(0)).alias("good"), F.count("*").alias("taken"))
+    out = hits.join(wanted, F.lit(True)).join(top, F.lit(True)).select(ratio(F.col("hits"), F.col("wanted")).alias("accuracy"), ratio(F.col("good"), F.col("taken")).alias("precision"))
+    return out.withColumn("f1", f1(F.col("precision"), F.col("accuracy")))
+
+
+def growth(runs: DataFrame, area: Column) -> DataFrame:
+    """Size and node count of each run against its length and area."""
+    return runs.select("dataset", "cameras", "length", area.alias("area"), "size_mb", "n_nodes", ratio(F.col("size_mb"), F.col("length")).alias("mb_per_length"), ratio(F.col("n_nodes"), area).alias("nodes_per_area"))

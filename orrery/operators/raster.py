@@ -266,3 +266,16 @@ def skeleton(free: DataFrame, key: str, max_dev: float = 3.0, max_dist: float =
 
     kind = dict(free.dtypes)[key]
     return free.select(key, "y", "x").groupBy(key).applyInPandas(solve, f"{key} {kind}, y long, x long, id long, is_edge boolean, dist double")
+
+
+def changed(grid: np.ndarray, cells: list[tuple[int, int, int]]) -> np.ndarray:
+    """The grid after (y, x, state) changes; its distance map follows by ``distance_map``."""
+    out = grid.copy()
+    for y, x, state in cells:
+        out[y, x] = state
+    return out
+
+
+def combined(grid: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Cells that are obstacles only where both grids have them."""
+    return np.minimum(grid, other)
