@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 
 import numpy as np
 import pytest
@@ -207,3 +208,12 @@ def test_threshold_is_strict_and_surfaces_win(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, emb array<double>")
     assert [r["id"] for r in P.relevant(rows, q, 1, 0.5).collect()] == [2]
     assert P.relevant(rows, q, 1, 1.0).count() == 0
+
+
+def test_staged_tables_can_be_cleared(spark, tmp_path):
+    from orrery.operators import lineage
+
+    assert lineage.staged(spark.range(3)).count() == 3
+    folders = list(lineage._written)
+    lineage.clear(spark)
+    assert folders and not any(os.path.exists(f) for f in folders)
