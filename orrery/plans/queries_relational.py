@@ -13,6 +13,7 @@ from orrery.functions import geometry as G
 from orrery.functions.vectors import cosine, edge_weight, norm
 from orrery.operators import aggregates as A, evaluate as E
 from orrery.operators.graph import degrees, subgraph, undirected
+from orrery.operators.similarity import similar_pairs
 from orrery.plans.registry import Tables, query
 from orrery.sources import scene_files as S
 
@@ -175,10 +176,8 @@ def p16(t: Tables) -> DataFrame:
 
 
 def similar_edges(t: Tables, above: float = 0.3) -> DataFrame:
-    """(src, dst, c): pairs of segments more alike than ``above``, met within blocks of ids."""
-    a, b = vecs(t).alias("a"), vecs(t).alias("b")
-    c = F.round(cosine(F.col("a.emb"), F.col("b.emb")), 9)
-    return a.join(b, F.col("a.vec_id") < F.col("b.vec_id")).select(F.col("a.vec_id").alias("src"), F.col("b.vec_id").alias("dst"), c.alias("c")).where(F.col("c") > above)
+    """(src, dst, c): pairs of segments more alike than ``above``."""
+    return similar_pairs(vecs(t), "vec_id", "emb", above)
 
 
 EDGES = VEC + ", edges AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.e, b.e), 9) AS c FROM vec a JOIN vec b ON a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.e, b.e), 9) > 0.3)"

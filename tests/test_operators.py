@@ -217,3 +217,16 @@ def test_staged_tables_can_be_cleared(spark, tmp_path):
     folders = list(lineage._written)
     lineage.clear(spark)
     assert folders and not any(os.path.exists(f) for f in folders)
+
+
+def test_similar_pairs_in_blocks(spark):
+    from orrery.operators.similarity import similar_pairs
+
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((60, 6))
+    x[5] = 0
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if u[i] @ u[j] > 0.5}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(100, None)], "id long, v array<double>")
+    for block in (2048, 13):
+        assert {(r["src"], r["dst"]) for r in similar_pairs(df, "id", "v", 0.5, block=block).collect()} == want
