@@ -100,9 +100,7 @@ def q9b(t: Tables) -> DataFrame:
 
 @query("q10_regions_aib")
 def q10(t: Tables) -> DataFrame:
-    s = scene_of(t)
-    s["nodes"] = s["nodes"].where("id < 200 OR level > 1")
-    return P.predict_regions(s, P.tasks_only(queries_of(t), N_SURFACE), "aib", PARAMS)
+    return P.predict_regions(scene_of(t), P.tasks_only(queries_of(t), N_SURFACE), "aib", PARAMS)
 
 
 @query("q11_plan_path")

@@ -173,8 +173,8 @@ def g4(t: Tables) -> DataFrame:
 
 @query("g3_bridge")
 def g3(t: Tables) -> DataFrame:
-    p = places(t).where("id < 200").select("id", "x", "y", "emb")
-    edges = similar_edges(t, 0.35).where("dst < 200").select("src", "dst")
+    p = places(t).select("id", "x", "y", "emb")
+    edges = similar_edges(t, 0.35).select("src", "dst")
     return graph.bridge(p, edges, ["x", "y"], 1.0, "emb").select("src", "dst", F.round("weight", 4).alias("weight"))
 
 
@@ -301,12 +301,12 @@ def c2(t: Tables) -> DataFrame:
 
 @query("c1_mask_cluster")
 def c1(t: Tables) -> DataFrame:
-    p = t.events.where("event_id <= 3000").select("event_type", F.col("event_id").alias("id"), "value", F.col("user_id").cast("double").alias("y"))
+    p = t.events.select("event_type", F.col("event_id").alias("id"), "value", F.col("user_id").cast("double").alias("y"))
     return cluster.largest_cluster(p, "event_type", "id", ["value", "y"], 2.0, 4)
 
 
-def scenes(t: Tables, most: int = 60) -> DataFrame:
-    return places(t).where("id < 300").withColumn("scene", F.col("label") % 3).where("label < 6")
+def scenes(t: Tables) -> DataFrame:
+    return places(t).withColumn("scene", F.col("label") % 3)
 
 
 @query("c3_linkage")
@@ -328,8 +328,8 @@ def c7(t: Tables) -> DataFrame:
 def c10(t: Tables) -> DataFrame:
     from orrery.plans.queries_relational import scored
 
-    s = scored(t, F.col("vec_id") < 5).where("vec_id < 200").groupBy(F.lit(0).alias("scene"), F.col("vec_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "c"))), lambda x: x["c"]).alias("scores"))
-    e = similar_edges(t, 0.25).where("dst < 200").select(F.lit(0).alias("scene"), "src", "dst")
+    s = scored(t, F.col("vec_id") < 5).groupBy(F.lit(0).alias("scene"), F.col("vec_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "c"))), lambda x: x["c"]).alias("scores"))
+    e = similar_edges(t, 0.25).select(F.lit(0).alias("scene"), "src", "dst")
     return cluster.bottleneck_of(s, e, "scene", 0.15, 2)
 
 
