@@ -5,7 +5,9 @@ and moves on if the j-th random bit of that word is 1.  Two windows at small edi
 distance walk apart and together again, so that their outputs differ in few steps:
 edit distance has become Hamming distance.  A key samples SAMPLED of the steps; each
 of WALKS walks gives KEYS keys, and a window meets an item under any equal one.
-Items are walked by length class, so that windows are about the size of the item.
+An item is walked in segments of SEGMENT words that cover all of it (a shorter item
+in one), so that edits in one part of a long item leave the others to be met: some
+segment has about the item's share of edits, or less.
 
 Only windows that can pass are walked: an item of L words within d edits keeps, by
 pigeonhole, one of any d + 1 disjoint pieces, so a window needs one of the item's
@@ -32,6 +34,8 @@ TOLERANCE = 0.2
 GRAM = 3
 LEAST_WORDS = 8
 WALKS, KEYS, SAMPLED = 6, 3, 3
+#: Words of one walk; a segment with a quarter of its words edited still holds a gram of 3.
+SEGMENT = 16
 #: Items of one pass, by words: what every task is sent, whatever the benchmark's size.
 PASS_WORDS = 500_000
 SEED = 77
@@ -41,9 +45,10 @@ def allowed(length: int) -> int:
     return int(TOLERANCE * length)
 
 
-def length_class(length: int) -> int:
-    """The power of two at or below the length, 64 at most: a walk has two steps a word and 64-bit words of bits twice."""
-    return min(32, 1 << (length.bit_length() - 1))
+def segments(length: int) -> tuple[int, list[int]]:
+    """(words, starts) of the segments of an item: evenly spaced, the first at its start and the last to its end."""
+    size, count = min(SEGMENT, length), -(-length // SEGMENT)
+    return size, [k * (length - size) // max(count - 1, 1) for k in range(count)]
 
 
 def walked(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, walk: int) -> list[np.ndarray]:
@@ -87,7 +92,7 @@ def distance_within(item: list[int], words: list[int], limit: int) -> tuple[int,
 
 
 class Items:
-    """The items of one pass: their grams, and their keys by length class."""
+    """The items of one pass: their grams, and the keys of their segments by size."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         data, offsets = text_bytes(pa.array(texts, pa.string()))
@@ -96,7 +101,7 @@ class Items:
         self.ids, self.first = np.array(ids, dtype=np.int64), first
         self.lengths = np.diff(first)
         use = np.flatnonzero(self.lengths >= LEAST_WORDS)
-        self.longest = int(self.lengths[use].max()) if len(use) else 0
+        self.reach = max((min(SEGMENT, int(n)) + SEGMENT // 4 for n in self.lengths[use]), default=0)
         self.width = {int(i): min(GRAM, int(self.lengths[i]) // (allowed(int(self.lengths[i])) + 1)) for i in use}
         grams: dict[int, list[np.ndarray]] = {}
         for i in use:
@@ -104,43 +109,46 @@ class Items:
             grams.setdefault(self.width[int(i)], []).append(window_hashes(part, np.array([0, len(part)]), self.width[int(i)])[0])
         self.grams = {w: np.unique(np.concatenate(g)) for w, g in grams.items()}
         self.keys: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for size in sorted({length_class(int(self.lengths[i])) for i in use}):
-            mine = np.array([i for i in use if length_class(int(self.lengths[i])) == size])
-            keys = [k for walk in range(WALKS) for k in walked(self.tokens, first[mine], first[mine + 1], size, walk)]
+        cut = [(size, int(i), at) for i in use for size, starts in [segments(int(self.lengths[i]))] for at in starts]
+        sizes, self.item_of, self.offset_of = (np.array([c[k] for c in cut], dtype=np.int64) for k in range(3))
+        for size in np.unique(sizes).tolist():
+            mine = np.flatnonzero(sizes == size)
+            item = self.item_of[mine]
+            keys = [k for walk in range(WALKS) for k in walked(self.tokens, first[item] + self.offset_of[mine], first[item + 1], size, walk)]
             self.keys[size] = [(k[np.argsort(k)], mine[np.argsort(k)]) for k in keys]
 
     def near(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Starts of the windows that hold a gram of some item: a gram and the longest item's reach before it."""
+        """Starts of the windows that hold a gram of some item: a gram and a segment's reach before it."""
         mark = np.zeros(len(tokens) + 1, dtype=np.int32)
         for width, known in self.grams.items():
             hashes, text, position = window_hashes(tokens, first, width)
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             hit = known[at] == hashes
             where = first[:-1][text[hit]] + position[hit]
-            low = np.maximum(first[:-1][text[hit]], where - self.longest - allowed(self.longest))
+            low = np.maximum(first[:-1][text[hit]], where - self.reach)
             np.add.at(mark, low, 1)
             np.add.at(mark, where + 1, -1)
         return np.flatnonzero(np.cumsum(mark[:-1]) > 0)
 
     def candidates(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, item) pairs that share a key."""
+        """(start, segment) pairs that share a key."""
         starts = self.near(tokens, first)
         if not len(starts):
             return starts, starts
         ends = first[np.searchsorted(first, starts, side="right")]
-        out_start, out_item = [], []
+        out_start, out_segment = [], []
         for size, tables in self.keys.items():
             k = 0
             for walk in range(WALKS):
                 for keys in walked(tokens, starts, ends, size, walk):
-                    known, items = tables[k]
+                    known, parts = tables[k]
                     k += 1
                     lo, hi = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
                     hit = np.flatnonzero(hi > lo)
                     counts = (hi - lo)[hit]
                     out_start.append(np.repeat(starts[hit], counts))
-                    out_item.append(items[np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64), counts) + np.arange(counts.sum())] if len(hit) else np.zeros(0, np.int64))
-        pairs = np.unique(np.stack([np.concatenate(out_start), np.concatenate(out_item)], 1), axis=0)
+                    out_segment.append(parts[np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64), counts) + np.arange(counts.sum())] if len(hit) else np.zeros(0, np.int64))
+        pairs = np.unique(np.stack([np.concatenate(out_start), np.concatenate(out_segment)], 1), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
     def matches(self, batch: pa.RecordBatch):
@@ -150,8 +158,9 @@ class Items:
         if not self.keys or not len(start):
             return
         tokens = span_hashes(data, start, end, lower=True)
-        begins, items = self.candidates(tokens, first)
+        begins, parts = self.candidates(tokens, first)
         rows = np.searchsorted(first, begins, side="right") - 1
+        items, begins = self.item_of[parts], begins - self.offset_of[parts]
         by: dict[tuple[int, int], list[int]] = {}
         for row, item, begin in zip(rows.tolist(), items.tolist(), begins.tolist()):
             by.setdefault((row, item), []).append(begin)
@@ -159,8 +168,8 @@ class Items:
             pattern = self.tokens[self.first[item] : self.first[item + 1]].tolist()
             limit, best, low = allowed(len(pattern)), None, int(first[row])
             regions: list[list[int]] = []
-            for p in sorted(places):  # stretches around the windows, overlapping ones as one
-                lo, hi = max(low, p - limit), min(int(first[row + 1]), p + len(pattern) + limit)
+            for p in sorted(set(places)):  # stretches around the windows, overlapping ones as one; edits before a segment shift it
+                lo, hi = max(low, p - 2 * limit), min(int(first[row + 1]), p + len(pattern) + 2 * limit)
                 if regions and lo <= regions[-1][1]:
                     regions[-1][1] = max(hi, regions[-1][1])
                 else:

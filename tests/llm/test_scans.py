@@ -267,6 +267,31 @@ def test_contamination_against_edit_distance(spark):
     assert decontaminate.contaminated(frame.limit(0), bench).count() == 0 and decontaminate.contaminated(frame, bench.limit(0)).count() == 0
 
 
+def test_contamination_of_long_items_with_edits_in_one_part(spark):
+    """A fifth of the words changed at the head, at the tail or in the middle of items of 100 to 220 words."""
+    rng = random.Random(21)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    say = lambda k: [rng.choice(vocabulary) for _ in range(k)]
+    items = [(i, say(n)) for i, n in enumerate((33, 47, 100, 130, 155, 170, 185, 200, 220))]
+    docs, want = [], {}
+    for i, words in items:
+        edits = decontaminate.allowed(len(words))
+        for k, at in enumerate((0, len(words) - edits, (len(words) - edits) // 2)):
+            inside = words[:at] + say(edits) + words[at + edits :]
+            docs.append((10 * i + k, " ".join(say(50) + inside + say(50))))
+            want[10 * i + k, i] = edits
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.contaminated(frame, bench).collect()}
+    assert set(got) == set(want) and all(0 < got[k] <= want[k] for k in got)
+
+
+def test_segments_cover_the_item():
+    for n in range(decontaminate.LEAST_WORDS, 300):
+        size, starts = decontaminate.segments(n)
+        assert starts[0] == 0 and starts[-1] + size == n and all(b - a <= size for a, b in zip(starts, starts[1:]))
+
+
 # --- pipeline ---
 
 
