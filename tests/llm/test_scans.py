@@ -227,6 +227,19 @@ def test_classifier_keeps_prose_and_drops_junk(spark):
     assert quality.classified(docs.limit(0), labels).count() == 0
 
 
+def test_language_without_fitted_text_is_kept(spark):
+    rng = random.Random(10)
+    good = lambda: " ".join(rng.choice("the of and to in is that for it with as was on be by".split()) for _ in range(60))
+    junk = lambda: " ".join(f"| {rng.random()} %" for _ in range(60))
+    rows = [(i, good() if i % 10 else junk(), "en") for i in range(300)] + [(1000 + i, good(), "xx") for i in range(20)] + [(2000, good(), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 10 != 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    for shipped_rows in (quality.SHIPPED_ROWS, 0):
+        out = {r["doc_id"]: r for r in quality.classified(docs, labels, shipped_rows=shipped_rows).collect()}
+        assert all(out[i]["kept"] and out[i]["perplexity"] is None and out[i]["n_words"] == 60 for i in [*range(1000, 1020), 2000])
+        assert not any(out[i]["kept"] for i in range(0, 300, 10))
+
+
 # --- 8 ---
 
 
