@@ -240,6 +240,23 @@ def test_language_without_fitted_text_is_kept(spark):
         assert not any(out[i]["kept"] for i in range(0, 300, 10))
 
 
+def test_model_is_fitted_on_all_of_one_half(spark, monkeypatch):
+    """Every trusted document with an even hash, also beside one of more than 100,000 words."""
+    rows = [(i, ("word " * 120_000 if i < 8 else f"own{i} text {i}"), "en") for i in range(1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    seen = []
+
+    def spied(trusted, whole=quality.fitted):
+        seen.append({r["doc_id"] for r in trusted.select("doc_id").collect()})
+        return whole(trusted)
+
+    monkeypatch.setattr(quality, "fitted", spied)
+    assert quality.classified(docs, labels).count() == len(rows)
+    even = {r["doc_id"] for r in docs.where(F.xxhash64("doc_id", F.lit("fit")) % 2 == 0).select("doc_id").collect()}
+    assert seen == [even] and len(even) > 600 and min(even) < 8
+
+
 # --- 8 ---
 
 
