@@ -1,12 +1,14 @@
-"""Line dedup: winnowed fingerprints of lines, joined by position, extended both ways; later repeated runs go.
+"""Line dedup: fingerprints of lines, joined by position, extended both ways; later repeated runs go.
 
 A line's hash covers its words, so white space at its ends or between words does
-not matter.  Fingerprints are (a) every line of at least LINE_WORDS words and (b)
-winnowed grams of GRAM short lines: of every two neighbouring grams the one with
-the smaller hash.  So each run that two places share shares a fingerprint too, if
-it holds one longer line or at least GRAM + 1 short ones.  A fingerprint is joined
-with its first place, the least (doc_id, line); from there the match is extended
-up and down while lines are equal, and the run is deleted where it is the later.
+not matter.  Fingerprints are (a) every line of at least LINE_WORDS words, (b) such a
+line with up to GRAM - 1 short lines after it, or before it, to one that is not
+blank, and (c) all grams of GRAM short lines.  A fingerprint is joined with its
+first place, the least (doc_id, line); from there the match is extended up and
+down while lines are equal, and the run is deleted where it is the later.  So
+every line with words goes that lies in a run with any earlier copy, if the run
+holds a longer line or at least GRAM short ones: some fingerprint within the run
+holds the line, and the first place of that one holds it too.
 The first place of anything always stays, so no text is lost from the corpus.
 
 Null text has no lines and stays null; an empty text has one empty line.  Blank
@@ -48,21 +50,24 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, first: np.ndarray, line_
     spoken = np.concatenate([[0], np.cumsum(words)])
     usable = (total[at + gram] == total[at]) & (spoken[at + gram] > spoken[at])
     grams, text, position = grams[usable], text[usable], position[usable]
-    beside = np.zeros(len(grams), dtype=bool)
-    beside[1:] = (text[1:] == text[:-1]) & (position[1:] == position[:-1] + 1)
-    least = np.zeros(len(grams), dtype=bool)
-    if len(grams):
-        under_left = np.zeros(len(grams), dtype=bool)
-        under_left[1:] = beside[1:] & (grams[1:] <= grams[:-1])
-        under_right = np.zeros(len(grams), dtype=bool)
-        under_right[:-1] = beside[1:] & (grams[:-1] < grams[1:])
-        alone = ~beside
-        alone[:-1] &= ~beside[1:]
-        least = under_left | under_right | alone
+    prefix = prefix_hash(hashes, _TOKENS)
+    beside = []  # (hash, first line) of long lines with their short neighbours
+    for step in (1, -1):
+        at = long
+        for k in range(1, gram):
+            end = at + k * step
+            inside = (end >= 0) & (end < len(owner))
+            at, end = at[inside], end[inside]
+            short = (owner[end] == owner[at]) & (words[end] < line_words)
+            at, end = at[short], end[short]
+            spoken = words[end] > 0
+            lo, hi = np.minimum(at, end)[spoken], np.maximum(at, end)[spoken] + 1
+            beside.append((range_hash(prefix, lo, hi, _TOKENS), lo))
+    wide, lines = (np.concatenate([b[k] for b in beside]) if beside else np.zeros(0, t) for k, t in ((0, np.uint64), (1, np.int64)))
     return (
-        np.concatenate([mix(hashes[long]), mix(grams[least] ^ np.uint64(0x5BD1E995))]),
-        np.concatenate([owner[long], text[least]]).astype(np.int64),
-        np.concatenate([long - first[:-1][owner[long]], position[least]]).astype(np.int64),
+        np.concatenate([mix(hashes[long]), mix(wide ^ np.uint64(0x2545F491)), mix(grams ^ np.uint64(0x5BD1E995))]),
+        np.concatenate([owner[long], owner[lines], text]).astype(np.int64),
+        np.concatenate([long - first[:-1][owner[long]], lines - first[:-1][owner[lines]], position]).astype(np.int64),
     )
 
 

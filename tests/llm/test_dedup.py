@@ -1,5 +1,7 @@
 """Operators 5, 6, 7 and 10 against plain versions, and their odd inputs."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -138,6 +140,37 @@ def test_short_lines_go_in_runs(spark):
     assert got == {1: docs[0][1], 2: "z", 3: "c", 4: docs[3][1]}
 
 
+def test_short_lines_beside_a_common_line(spark):
+    """The common line's first place has other neighbours than the repeats."""
+    common = "this line is in all documents"
+    docs = [(1, f"{common}\nown text")] + [(i, f"top {i}\nHome\n{common}\nTerms apply.\nSee site.\nend {i}") for i in (2, 3, 4)]
+    docs += [(5, f"b\n{common}\nTerms apply.\nother"), (6, "p\nq\nr"), (7, "x\np\nq\nr\ny")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.rewritten(frame(spark, docs)).collect()}
+    assert got == {1: docs[0][1], 2: "top 2\nHome\nTerms apply.\nSee site.\nend 2", 3: "top 3\nend 3", 4: "top 4\nend 4", 5: "b\nother", 6: "p\nq\nr", 7: "x\ny"}
+
+
+def test_lines_with_any_earlier_copy_go(spark):
+    """Against all pairs of places: what holds a long line or GRAM short ones goes, wherever the earlier copy is."""
+    rng = random.Random(31)
+    pool = ["a", "b b", "c", "d", "one two three four five", "six seven eight nine ten"]
+    docs = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.8 else f"u{rng.random()}" for _ in range(8))) for i in range(25)]
+    lines = {i: t.split("\n") for i, t in docs}
+    places = [(i, k) for i in sorted(lines) for k in range(8)]
+    gone = set()
+    for i, k in places:
+        for j, m in places:
+            if (j, m) >= (i, k):
+                break
+            n = 0
+            while max(k, m) + n < 8 and lines[i][k + n] == lines[j][m + n]:
+                n += 1
+            run = lines[i][k : k + n]
+            if len(run) >= line_dedup.GRAM or any(len(x.split()) >= line_dedup.LINE_WORDS for x in run):
+                gone |= {(i, k + x) for x in range(n)}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.rewritten(frame(spark, docs)).collect()}
+    assert got == {i: "\n".join(x for k, x in enumerate(own) if (i, k) not in gone) for i, own in lines.items()}
+
+
 def test_winnowing_guarantee():
     """Shared runs of GRAM + 1 short lines share a fingerprint wherever they stand."""
     rng = np.random.default_rng(8)
