@@ -17,8 +17,8 @@ the window, by bit-parallel dynamic programming.  Reported are pairs within
 TOLERANCE of the item's length.
 
 Words are compared without ASCII case.  Null or empty texts and items match
-nothing; items of fewer than LEAST_WORDS words are too short to tell and are left
-out.  Items that repeat are reported each; rows that repeat a doc_id are one
+nothing; items of fewer than LEAST_WORDS words match as whole word sequences only,
+at distance 0.  Items that repeat are reported each; rows that repeat a doc_id are one
 document.  Rows without doc_id or item_id take no part.
 """
 
@@ -92,7 +92,7 @@ def distance_within(item: list[int], words: list[int], limit: int) -> tuple[int,
 
 
 class Items:
-    """The items of one pass: their grams, and the keys of their segments by size."""
+    """The items of one pass: their grams, the keys of their segments by size, and the hashes of short ones by length."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         data, offsets = text_bytes(pa.array(texts, pa.string()))
@@ -108,6 +108,12 @@ class Items:
             part = self.tokens[first[i] : first[i + 1]]
             grams.setdefault(self.width[int(i)], []).append(window_hashes(part, np.array([0, len(part)]), self.width[int(i)])[0])
         self.grams = {w: np.unique(np.concatenate(g)) for w, g in grams.items()}
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in range(1, LEAST_WORDS):
+            mine = np.flatnonzero(self.lengths == n)
+            if len(mine):
+                hashes = np.concatenate([window_hashes(self.tokens[first[i] : first[i + 1]], np.array([0, n]), n)[0] for i in mine])
+                self.short[n] = hashes[np.argsort(hashes)], mine[np.argsort(hashes)]
         self.keys: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         cut = [(size, int(i), at) for i in use for size, starts in [segments(int(self.lengths[i]))] for at in starts]
         sizes, self.item_of, self.offset_of = (np.array([c[k] for c in cut], dtype=np.int64) for k in range(3))
@@ -151,13 +157,28 @@ class Items:
         pairs = np.unique(np.stack([np.concatenate(out_start), np.concatenate(out_segment)], 1), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
+    def whole(self, tokens: np.ndarray, first: np.ndarray):
+        """(row, item index, first word, end word, distance 0): the first place of each short item in each text."""
+        for n, (known, items) in self.short.items():
+            hashes, text, position = window_hashes(tokens, first, n)
+            lo, hi = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
+            seen = set()
+            for k in np.flatnonzero(hi > lo):
+                for item in items[lo[k] : hi[k]].tolist():
+                    if (int(text[k]), item) not in seen:
+                        seen.add((int(text[k]), item))
+                        yield int(text[k]), item, int(position[k]), int(position[k]) + n, 0
+
     def matches(self, batch: pa.RecordBatch):
         """(row, item index, first word, end word, distance): for each text and item the best stretch within the tolerance."""
         data, offsets = text_bytes(batch.column("text"))
         start, end, first = word_spans(data, offsets)
-        if not self.keys or not len(start):
+        if not len(start):
             return
         tokens = span_hashes(data, start, end, lower=True)
+        yield from self.whole(tokens, first)
+        if not self.keys:
+            return
         begins, parts = self.candidates(tokens, first)
         rows = np.searchsorted(first, begins, side="right") - 1
         items, begins = self.item_of[parts], begins - self.offset_of[parts]

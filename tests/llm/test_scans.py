@@ -316,6 +316,16 @@ def test_contamination_of_long_items_with_edits_in_one_part(spark):
     assert set(got) == set(want) and all(0 < got[k] <= want[k] for k in got)
 
 
+def test_short_items_match_as_whole_sequences(spark):
+    items = [(1, "What is DNA"), (2, "what is dna"), (3, "Gravity"), (4, "one two three four five six seven"), (5, ""), (6, " \n")]
+    texts = ["they ask what is DNA here, what is dna", "what is that DNA", "gravity", "gravity's", "a one two three four five six seven b", "one two three four five six eight", "what is", "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").selectExpr("cast(doc_id AS long) AS doc_id", "text")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for more in (bench, bench.union(spark.createDataFrame([(9, "w1 w2 w3 w4 w5 w6 w7 w8 w9")], "item_id long, text string"))):
+        got = sorted(map(tuple, decontaminate.contaminated(frame, more).collect()))
+        assert got == [(0, 1, 2, 5, 0), (0, 2, 2, 5, 0), (2, 3, 0, 1, 0), (4, 4, 1, 8, 0)]
+
+
 def test_segments_cover_the_item():
     for n in range(decontaminate.LEAST_WORDS, 300):
         size, starts = decontaminate.segments(n)
