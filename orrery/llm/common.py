@@ -1,23 +1,25 @@
 """Shared pieces of the training-data operators.
 
 Text kernels work on the UTF-8 bytes of a whole Arrow batch at once: words and
-lines become 64-bit hashes in a handful of numpy passes, without a Python object
-per word.  Batches hold at most ``spark.sql.execution.arrow.maxRecordsPerBatch``
+lines become hashes in a handful of numpy passes, without a Python object per word.
+Sequences are hashed by polynomials over a prime field: modulo a power of two, texts
+made for it collide whatever the base.  Batches hold at most ``spark.sql.execution.arrow.maxRecordsPerBatch``
 texts, so memory follows the batch and never the table.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from orrery.operators.lineage import staged  # noqa: F401  used by every operator here
 
-#: Odd multipliers of the polynomial (Rabin-Karp) hashes, modulo 2**64.
-BYTE_BASE = 0x9E3779B97F4A7C15
-TOKEN_BASE = 0xD6E8FEB86659FD93
-_MASK = (1 << 64) - 1
+#: The field of the polynomial (Rabin-Karp) hashes, a Mersenne prime, and a base drawn from it.
+PRIME = (1 << 61) - 1
+TOKEN_BASE = 0x16E8FEB86659FD93
 
 #: The white space between words: space and U+0009 to U+000D.
 _SPACE = np.zeros(256, dtype=bool)
@@ -27,6 +29,8 @@ _LOWER[65:91] += 32
 
 #: Texts in one slice of a batch, by bytes: bounds the temporaries of the kernels.
 SLICE_BYTES = 1 << 20
+#: Bytes from which a span is hashed by itself.
+LONG_SPAN = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,19 +52,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(PRIME), x - np.uint64(PRIME), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, both below 2**61, by halves of 31 bits: 2**62 is 2 there."""
+    half, low, thirty = np.uint64(31), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+    ah, al, bh, bl = a >> half, a & low, b >> half, b & low
+    middle = ah * bl + al * bh
+    return folded((ah * bh << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & thirty) << half) + al * bl)
+
+
 class Powers:
-    """Growing tables of base**i and base**-i modulo 2**64."""
+    """Growing tables of base**i and base**-i modulo PRIME."""
 
     def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.base, self.inverse = base, pow(base, -1, PRIME)
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def table(self, base: int, n: int) -> np.ndarray:
         out = np.ones(n, dtype=np.uint64)
-        done, step = 1, base
+        done = 1
         while done < n:
             m = min(done, n - done)
-            out[done : done + m] = out[:m] * np.uint64(pow(base, done, 1 << 64))
+            out[done : done + m] = times(out[:m], np.uint64(pow(base, done, PRIME)))
             done += m
         return out
 
@@ -71,20 +89,23 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTES, _TOKENS = Powers(BYTE_BASE), Powers(TOKEN_BASE)
+_TOKENS = Powers(TOKEN_BASE)
 
 
 def prefix_hash(values: np.ndarray, powers: Powers) -> np.ndarray:
-    """C[i] = sum over j < i of values[j] * base**j, so that any range is one subtraction."""
+    """C[i] = sum over j < i of values[j] * base**j modulo PRIME, so that any range is one subtraction."""
     up, _ = powers.upto(len(values) + 1)
+    terms = times(folded(values), up[: len(values)])
+    # sums of the halves cannot overflow; 2**32 times the upper one folds at its 29th bit
+    low, high = np.cumsum(terms & np.uint64((1 << 32) - 1), dtype=np.uint64), np.cumsum(terms >> np.uint64(32), dtype=np.uint64)
     out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], out=out[1:])
+    out[1:] = folded((high >> np.uint64(29)) + ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)) + low)
     return out
 
 
 def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
     _, down = powers.upto(len(prefix))
-    return mix((prefix[end] - prefix[start]) * down[start])
+    return mix(times(folded(prefix[end] + np.uint64(PRIME) - prefix[start]), down[start]))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -140,9 +161,24 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte span; the length takes part."""
-    prefix = prefix_hash((_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1), _BYTES)
-    return range_hash(prefix, start, end, _BYTES)
+    """A 64-bit hash of each byte span: its length, then eight bytes at a time; of long spans a digest."""
+    data = _LOWER[data] if lower else data
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    n = (end - start).astype(np.int64)
+    out = mix(n.astype(np.uint64) + np.uint64(TOKEN_BASE))
+    live = np.flatnonzero((n > 0) & (n <= LONG_SPAN))
+    at, left = start[live], n[live]
+    while len(live):
+        part = eight[at]
+        short = left < 8
+        part[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[live] = mix(out[live] * np.uint64(0x9E3779B97F4A7C15) + part)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(n > LONG_SPAN):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def window_hashes(tokens: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,3 +210,8 @@ def binary_column(values: np.ndarray, starts: np.ndarray) -> pa.Array:
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; others, whatever they are called, take no part."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_key): rows that share a doc_id are told apart by a hash of their text."""
+    return columns_of(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))

@@ -4,7 +4,7 @@ A line's hash covers its words, so white space at its ends or between words does
 not matter.  Fingerprints are (a) every line of at least LINE_WORDS words, (b) such a
 line with up to GRAM - 1 short lines after it, or before it, to one that is not
 blank, and (c) all grams of GRAM short lines.  A fingerprint is joined with its
-first place, the least (doc_id, line); from there the match is extended up and
+first place, the least (doc_id, text, line); from there the match is extended up and
 down while lines are equal, and the run is deleted where it is the later.  So
 every line with words goes that lies in a run with any earlier copy, if the run
 holds a longer line or at least GRAM short ones: some fingerprint within the run
@@ -12,9 +12,10 @@ holds the line, and the first place of that one holds it too.
 The first place of anything always stays, so no text is lost from the corpus.
 
 Null text has no lines and stays null; an empty text has one empty line.  Blank
-lines are never fingerprints but go with a run around them.  Rows that repeat a
-doc_id are not earlier than each other; rows without doc_id stay whole.  Columns
-other than doc_id and text are carried or ignored, never read.
+lines are never fingerprints but go with a run around them.  Rows that repeat both
+doc_id and text are not earlier than each other; rows that share a doc_id with
+different texts come in the order of a hash of the text.  Rows without doc_id stay
+whole.  Columns other than doc_id and text are carried or ignored, never read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm.common import _TOKENS, binary_column, columns_of, line_spans, mix, prefix_hash, range_hash, slices, span_hashes, staged, table, text_bytes, window_hashes, word_spans
+from orrery.llm.common import _TOKENS, binary_column, columns_of, keyed, line_spans, mix, prefix_hash, range_hash, slices, span_hashes, staged, table, text_bytes, window_hashes, word_spans
 from orrery.llm.repeats import merged
 
 LINE_WORDS = 5
@@ -72,29 +73,29 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, first: np.ndarray, line_
 
 
 def select(batches):
-    """(fp, doc_id, line)"""
+    """(fp, doc_id, text_key, line)"""
     for whole in batches:
         for batch in slices(whole):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
             fp, text, line = fingerprints(*line_hashes(*text_bytes(batch.column("text"))))
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ids[text]), pa.array(line.astype(np.int32))], names=["fp", "doc_id", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ids[text]), pa.array(keys[text]), pa.array(line.astype(np.int32))], names=["fp", "doc_id", "text_key", "line"])
 
 
 def hashed(batches):
-    """(doc_id, lines): all line hashes of a text."""
+    """(doc_id, text_key, lines): all line hashes of a text."""
     for whole in batches:
         for batch in slices(whole):
             hashes, _, first = line_hashes(*text_bytes(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binary_column(hashes, first)], names=["doc_id", "lines"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), binary_column(hashes, first)], names=["doc_id", "text_key", "lines"])
 
 
 def extend(batches):
-    """(doc_id, lo, hi): matched runs of lines, from (doc_id, doc0, pairs, lines, lines0)."""
+    """(doc_id, text_key, lo, hi): matched runs of lines, from texts (doc_id, text_key, lines) met with first ones (doc0, key0, lines0) at pairs."""
     for batch in batches:
-        out: list[tuple[int, int, int]] = []
-        for doc, doc0, pairs, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "doc0", "pairs", "lines", "lines0"))):
+        out: list[tuple[int, int, int, int]] = []
+        for doc, key, doc0, key0, pairs, a, b in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "doc0", "key0", "pairs", "lines", "lines0"))):
             a = np.frombuffer(a, np.uint64).tolist()
-            b = a if doc == doc0 else np.frombuffer(b, np.uint64).tolist()
+            b = a if (doc, key) == (doc0, key0) else np.frombuffer(b, np.uint64).tolist()
             reached: dict[int, int] = {}
             for line, line0 in sorted((p["line"], p["line0"]) for p in pairs):
                 shift = line - line0
@@ -106,29 +107,31 @@ def extend(batches):
                 while hi < len(a) and hi - shift < len(b) and a[hi] == b[hi - shift]:
                     hi += 1
                 reached[shift] = hi
-                out.append((doc, lo, hi))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "lo", "hi"])
+                out.append((doc, key, lo, hi))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "text_key", "lo", "hi"])
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): runs of lines that have an earlier copy."""
-    docs = columns_of(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    places = docs.mapInArrow(select, "fp long, doc_id long, line int")
-    first = places.groupBy("fp").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "first")
-    later = places.join(first, "fp").where(F.struct("doc_id", "line") > F.col("first"))
-    pairs = later.select("doc_id", F.col("first.doc_id").alias("doc0"), "line", F.col("first.line").alias("line0"))
-    pairs = pairs.groupBy("doc_id", "doc0").agg(F.collect_list(F.struct("line", "line0")).alias("pairs"))
-    lines = staged(docs.mapInArrow(hashed, "doc_id long, lines binary"))
-    met = pairs.join(lines, "doc_id").join(lines.toDF("doc0", "lines0"), "doc0")
-    runs = met.select("doc_id", "doc0", "pairs", "lines", "lines0").mapInArrow(extend, "doc_id long, lo int, hi int")
-    return runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    """(doc_id, text_key, spans) of keyed docs: runs of lines that have an earlier copy."""
+    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    places = docs.mapInArrow(select, "fp long, doc_id long, text_key long, line int")
+    at = F.struct("doc_id", "text_key", "line")
+    # written, so that the join below is of two plain exchanges and a hot line can be split
+    first = staged(places.groupBy("fp").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("fp", "first"))
+    later = places.join(first, "fp").where(at > F.col("first"))
+    pairs = later.select("doc_id", "text_key", F.col("first.doc_id").alias("doc0"), F.col("first.text_key").alias("key0"), "line", F.col("first.line").alias("line0"))
+    pairs = pairs.groupBy("doc_id", "text_key", "doc0", "key0").agg(F.collect_set(F.struct("line", "line0")).alias("pairs"))
+    lines = staged(docs.mapInArrow(hashed, "doc_id long, text_key long, lines binary").dropDuplicates(["doc_id", "text_key"]))
+    met = pairs.join(lines, ["doc_id", "text_key"]).join(lines.toDF("doc0", "key0", "lines0"), ["doc0", "key0"])
+    runs = met.select("doc_id", "text_key", "doc0", "key0", "pairs", "lines", "lines0").mapInArrow(extend, "doc_id long, text_key long, lo int, hi int")
+    return runs.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def rewritten(docs: DataFrame) -> DataFrame:
-    """docs with text cut; added are n_lines and n_removed, under names that docs does not use."""
-    found = repeated_lines(docs)
-    found = found.select(F.col("doc_id").alias("_cut_id"), F.col("spans").alias("_cut_spans"))
-    joined = docs.join(found, docs["doc_id"] == found["_cut_id"], "left").drop("_cut_id")
+    """docs with text cut; added are _n_lines and _n_removed, which replace columns of docs so named."""
+    docs = docs.drop("_n_lines", "_n_removed")
+    found = repeated_lines(keyed(docs)).select(F.col("doc_id").alias("_cut_id"), F.col("text_key").alias("_cut_key"), F.col("spans").alias("_cut_spans"))
+    joined = docs.join(found, (docs["doc_id"] == found["_cut_id"]) & (F.xxhash64(docs["text"]) == found["_cut_key"]), "left").drop("_cut_id", "_cut_key")
     schema = joined.drop("_cut_spans").schema.add("_n_lines", "long").add("_n_removed", "long")
     names = schema.names
 

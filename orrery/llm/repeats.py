@@ -15,23 +15,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from orrery.llm.common import binary_column, columns_of, partitions, sliding_min, slices, text_bytes, window_hashes
+from orrery.llm.common import binary_column, partitions, sliding_min, slices, text_bytes, window_hashes
 
-RUNS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("hashes", pa.binary())])
-HITS = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+RUNS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("hashes", pa.binary())])
+HITS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def runs_of(tokens: Tokens, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, text) to runs of windows; ``tokens`` maps (bytes, offsets) to (hashes, index of each text's first)."""
+    """(doc_id, text, text_key) to runs of windows; ``tokens`` maps (bytes, offsets) to (hashes, index of each text's first)."""
     gram = (width + 1) // 2
     reach = width - gram + 1
 
     def work(batches):
         for whole in batches:
             for batch in slices(whole):
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
                 hashes, first = tokens(*text_bytes(batch.column("text")))
                 window, text, position = window_hashes(hashes, first, width)
                 if not len(window):
@@ -42,7 +42,7 @@ def runs_of(tokens: Tokens, width: int) -> Callable[[Iterator[pa.RecordBatch]],
                 new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
                 at = np.flatnonzero(new)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(anchor[at].view(np.int64)), pa.array(ids[text[at]].astype(np.int64)),
+                    pa.array(anchor[at].view(np.int64)), pa.array(ids[text[at]].astype(np.int64)), pa.array(keys[text[at]]),
                     pa.array(position[at].astype(np.int32)), binary_column(window, np.append(at, len(window))),
                 ], schema=RUNS)
 
@@ -62,7 +62,7 @@ def later_copies(width: int, within: bool) -> Callable[[Iterator[pa.RecordBatch]
             if not batch.num_rows:
                 continue
             anchor = batch.column("anchor").to_numpy(zero_copy_only=False)
-            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            docs, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
             start = batch.column("start").to_numpy(zero_copy_only=False).astype(np.int64)
             raw, offsets = text_bytes(batch.column("hashes"))
             window = raw.view(np.uint64) if len(raw) else np.zeros(0, np.uint64)
@@ -95,18 +95,18 @@ def later_copies(width: int, within: bool) -> Callable[[Iterator[pa.RecordBatch]
             opens[1:] = (hit[1:] != hit[:-1] + 1) | (run[hit[1:]] != run[hit[:-1]])
             lo = hit[opens]
             hi = hit[np.append(np.flatnonzero(opens)[1:] - 1, len(hit) - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[lo]), pa.array(position[lo].astype(np.int32)), pa.array((position[hi] + width).astype(np.int32))], schema=HITS)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[lo]), pa.array(keys[run[lo]]), pa.array(position[lo].astype(np.int32)), pa.array((position[hi] + width).astype(np.int32))], schema=HITS)
 
     return work
 
 
 def repeated_intervals(docs: DataFrame, tokens: Tokens, width: int, within: bool = False) -> DataFrame:
-    """(doc_id, spans array<struct<lo,hi>>): token intervals covered by windows that occur earlier."""
+    """(doc_id, text_key, spans array<struct<lo,hi>>) of keyed docs: token intervals covered by windows that occur earlier."""
     n = partitions(docs.sparkSession)
-    runs = columns_of(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(runs_of(tokens, width), "anchor long, doc_id long, start int, hashes binary")
+    runs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(runs_of(tokens, width), "anchor long, doc_id long, text_key long, start int, hashes binary")
     met = runs.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "start")
-    hits = met.mapInArrow(later_copies(width, within), "doc_id long, lo int, hi int")
-    return hits.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    hits = met.mapInArrow(later_copies(width, within), "doc_id long, text_key long, lo int, hi int")
+    return hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:

@@ -2,20 +2,19 @@
 
 Null and empty texts have no words; a text of fewer than ``width`` words has no
 window and stays whole; repeated rows of one doc_id are one document as far as
-"smaller doc_id" goes, so neither removes the other.  Rows without doc_id stay
-whole.  Extra columns take no part.  Windows are equal when their 64-bit hashes
-under one fingerprint are; two different ones collide with chance 2**-64 a pair.
+"smaller doc_id" goes, so neither removes the other, and each loses what its own
+text shares with earlier documents.  Rows without doc_id stay whole.  Extra columns
+take no part.  Windows are equal when their hashes under one fingerprint are: both
+lie in a field of 2**61 elements, so different ones meet with chance 2**-110 or less.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm.common import columns_of, span_hashes, table, text_bytes, word_spans
+from orrery.llm.common import keyed, span_hashes, table, text_bytes, word_spans
 from orrery.llm.repeats import merged, repeated_intervals
 
 WIDTH = 50
@@ -28,8 +27,8 @@ def word_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def cut(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each text without the words that earlier documents already have."""
-    spans = repeated_intervals(docs, word_tokens, width)
-    joined = columns_of(docs, "doc_id", "text").join(spans, "doc_id", "left")
+    docs = keyed(docs)
+    joined = docs.join(repeated_intervals(docs, word_tokens, width), ["doc_id", "text_key"], "left")
 
     def work(batches):
         for batch in batches:

@@ -6,31 +6,38 @@ anchors at equal distance, so suffixes that share WIDTH bytes come to one place.
 Windows under one anchor place form a run, WIDTH + n - 1 bytes of context:
 
 1. runs whose anchor gram occurs nowhere else cannot repeat and go no further;
-2. runs of equal context repeat as a whole: all but one drop out, already decided;
-3. contexts that differ under one anchor (the borders of copies) are suffix-sorted:
-   triples of the sampled two thirds of positions are sorted and named, the names
-   sorted by recursion, the remaining third merged in, and adjacent suffixes that
-   agree in WIDTH bytes mark their windows.
+2. runs of equal context (128-bit digests of the bytes) repeat as a whole.  Counts
+   are combined within each slice before they move, and the runs are marked by a
+   join on the digest, in which a hot passage is split like any skewed key;
+3. contexts that differ under one anchor (the borders of copies) are suffix-sorted,
+   one of each, in blocks of bounded size, every two blocks of a large anchor
+   together: triples of the sampled two thirds of positions are sorted and named,
+   the names sorted by recursion, the remaining third merged in, and neighbours in
+   the order that agree in WIDTH bytes, compared byte by byte, mark their windows.
 
 Each text is UTF-8 bytes; matches stay within texts.  Null is empty; texts shorter
-than WIDTH have no window; rows without doc_id stay whole and are no evidence;
-rows that repeat a doc_id share their removals.  Gram and context equality is that
-of 64-bit hashes.
+than WIDTH have no window; rows without doc_id stay whole and are no evidence.
+Rows are places each: a row that repeats another whole goes with it, and rows that
+share a doc_id lose what their own text repeats.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from orrery.llm.common import _BYTES, binary_column, columns_of, partitions, prefix_hash, range_hash, sliding_min, slices, staged, table, text_bytes
+from orrery.llm.common import binary_column, keyed, partitions, sliding_min, slices, staged, table, text_bytes
 from orrery.llm.repeats import merged
 
 WIDTH = 400
 GRAM = 128
 #: Contexts sorted at once, in bytes: names of all levels then fit 21 bits.
 SORT_BYTES = 1_000_000
+#: Contexts of one block, in bytes; two of a large anchor are sorted together.
+BLOCK_BYTES = SORT_BYTES // 3
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -77,39 +84,58 @@ def repeated_windows(contexts: list[np.ndarray], counts: np.ndarray, width: int
     sizes = np.array([len(c) + 1 for c in contexts])
     at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     joined = np.ones(int(sizes.sum()), dtype=np.int64)  # 1 parts the contexts
-    for c, lo in zip(contexts, at):
-        joined[lo : lo + len(c)] = c.astype(np.int64) + 2
+    raw = np.zeros(len(joined) + 8, dtype=np.uint8)
     valid = np.zeros(len(joined), dtype=bool)
-    for lo, n in zip(at, counts):
+    for c, lo, n in zip(contexts, at, counts):
+        joined[lo : lo + len(c)] = c.astype(np.int64) + 2
+        raw[lo : lo + len(c)] = c
         valid[lo : lo + n] = True
     order = suffix_array(joined)
     order = order[valid[order]]
-    prefix = prefix_hash(joined.astype(np.uint64), _BYTES)
-    hashes = range_hash(prefix, order, order + width, _BYTES)
-    same = hashes[1:] == hashes[:-1]
+    eight = np.ndarray((len(joined) + 1,), "<u8", raw, 0, (1,))
+    same = np.arange(len(order) - 1)  # neighbours that agree so far
+    for k in [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]:
+        same = same[eight[order[same] + k] == eight[order[same + 1] + k]]
     hit = np.zeros(len(joined), dtype=bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
+    hit[order[same]] = True
+    hit[order[same + 1]] = True
     return [hit[lo : lo + n] for lo, n in zip(at, counts)]
 
 
-def runs_of(width: int, gram: int):
-    """(anchor, context, doc_id, start, n) of every run of windows."""
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each ``gram`` (8 or more) bytes in a row, by doubling.  Only deals work out: what it brings together is compared on bytes."""
+
+    def combined(a, b):
+        x = a * np.uint64(0x9E3779B97F4A7C15) + b
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(32))
+
+    out, have = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,)), 8
+    out = combined(out, np.uint64(gram))
+    while have * 2 <= gram:
+        out, have = combined(out[:-have], out[have:]), have * 2
+    return combined(out[: len(out) - (gram - have)], out[gram - have :]) if gram > have else out
+
+
+RUN = "anchor long, c1 long, c2 long, doc_id long, text_key long, start int, n int"
+
+
+def runs_of(width: int, gram: int, combine: bool):
+    """RUN of every run of windows of (doc_id, text, text_key), or, if ``combine``, of the first of each context in a slice, with their number k."""
     reach = width - gram + 1
 
     def work(batches):
         for whole in batches:
             for batch in slices(whole):
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_key"))
                 data, offsets = text_bytes(batch.column("text"))
                 counts = np.maximum(np.diff(offsets) - width + 1, 0)
                 if not counts.sum():
                     continue
-                prefix = prefix_hash(data.astype(np.uint64) + np.uint64(1), _BYTES)
-                at = np.arange(len(data) - gram + 1)
-                grams = range_hash(prefix, at, at + gram, _BYTES)
+                grams = gram_hashes(data, gram)
                 # upper half of the hash, then place: the leftmost of equals wins, whatever the slice
-                least = sliding_min((grams >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64), reach)
+                least = sliding_min((grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64), reach)
                 text = np.repeat(np.arange(len(counts)), counts)
                 start = offsets[:-1][text] + np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
                 place = (least[start] & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -118,85 +144,25 @@ def runs_of(width: int, gram: int):
                 head = np.flatnonzero(new)
                 n = np.diff(np.append(head, len(start)))
                 begin = start[head]
-                context = range_hash(prefix, begin, begin + n + width - 1, _BYTES)
-                # where the anchor lies in the context takes part, so that equal contexts are equal runs
-                context ^= (place[head] - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + n.astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(grams[place[head]].view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids[text[head]]),
-                    pa.array((begin - offsets[:-1][text[head]]).astype(np.int32)), pa.array(n.astype(np.int32)),
-                ], names=["anchor", "context", "doc_id", "start", "n"])
+                view = memoryview(np.ascontiguousarray(data))
+                digests = b"".join([hashlib.blake2b(view[lo:hi], digest_size=16).digest() for lo, hi in zip(begin.tolist(), (begin + n + width - 1).tolist())])
+                context = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                columns = [grams[place[head]].view(np.int64), context[:, 0], context[:, 1], ids[text[head]], keys[text[head]], (begin - offsets[:-1][text[head]]).astype(np.int32), n.astype(np.int32)]
+                names = ["anchor", "c1", "c2", "doc_id", "text_key", "start", "n"]
+                if combine:
+                    order = np.lexsort((context[:, 1], context[:, 0]))
+                    first = np.ones(len(order), dtype=bool)
+                    first[1:] = (context[order[1:]] != context[order[:-1]]).any(1)
+                    columns = [c[order[first]] for c in columns] + [np.diff(np.append(np.flatnonzero(first), len(order)))]
+                    names.append("k")
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     return work
 
 
-FOUND = "kind int, anchor long, doc_id long, start int, n int, copies boolean"
-
-
-def sorted_out(batches):
-    """Runs sorted by (anchor, context) to FOUND: kind 0, runs with an equal copy; kind 1, one run of each context whose anchor has several.
-
-    Kept between batches are single rows: the last two, and the first of the anchor.
-    """
-    names = ["anchor", "context", "doc_id", "start", "n"]
-    previous = held = lead = None  # rows; lead is (anchor, row, has copies, contexts so far)
-
-    def give(rows, flags_next):
-        """Decide rows[1:] given rows[0] before them and the row after the last."""
-        nonlocal lead
-        anchor, context = rows[:, 0], rows[:, 1]
-        same_anchor = anchor[1:] == anchor[:-1]
-        same = same_anchor & (context[1:] == context[:-1])
-        copies = same | np.append(same[1:], flags_next)
-        own, begins = rows[1:], ~same
-        first = begins & ~same_anchor
-        hits = own[copies]
-        # ordinal of each context within its anchor
-        ordinal = np.cumsum(begins)
-        leads = np.flatnonzero(first)
-        group = np.cumsum(first)
-        base = np.concatenate([[0 if lead is None else -lead[2]], ordinal[leads] - 1])
-        place = ordinal - base[group]
-        probe = begins & (place >= 2)
-        out, marks = [own[probe]], [copies[probe]]
-        second = begins & (place == 2)
-        which = group[second]
-        for g in which[which == 0]:
-            out.append(lead[0][None])
-            marks.append(np.array([lead[1]]))
-        rest = which[which > 0] - 1
-        out.append(own[leads[rest]])
-        marks.append(copies[leads[rest]])
-        if len(leads):
-            lead = (own[leads[-1]], bool(copies[leads[-1]]), int(place[-1]))
-        elif lead is not None:
-            lead = (lead[0], lead[1], int(place[-1]))
-        return hits, np.concatenate(out), np.concatenate(marks)
-
-    def emit(hits, probes, marks):
-        kind = np.concatenate([np.zeros(len(hits), np.int32), np.ones(len(probes), np.int32)])
-        rows = np.concatenate([hits, probes])
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(rows[:, 0]), pa.array(rows[:, 2]), pa.array(rows[:, 3].astype(np.int32)), pa.array(rows[:, 4].astype(np.int32)), pa.array(np.concatenate([np.ones(len(hits), bool), marks]))], names=["kind", "anchor", "doc_id", "start", "n", "copies"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names], 1)
-        if held is not None:
-            rows = np.concatenate([held[None], rows])
-        if previous is None:  # nothing stands before the first row: a row that differs from it
-            previous = rows[0].copy()
-            previous[0] ^= 1
-        if len(rows) > 1:
-            last_same = bool((rows[-1, :2] == rows[-2, :2]).all())
-            yield emit(*give(np.concatenate([previous[None], rows[:-1]]), last_same))
-            previous = rows[-2]
-        held = rows[-1]
-    if held is not None:
-        yield emit(*give(np.stack([previous, held]), False))
-
-
 def cut_contexts(width: int):
-    """(anchor, doc_id, start, n, copies, bytes) from the runs of a text."""
+    """(anchor, lo, hi, doc_id, text_key, start, n, k, bytes) from the runs of a text."""
+    names = ["anchor", "lo", "hi", "doc_id", "text_key", "start", "n", "k"]
 
     def work(batches):
         for batch in batches:
@@ -207,41 +173,34 @@ def cut_contexts(width: int):
             low = offsets[:-1] + start
             parts = [data[lo : lo + k + width - 1] for lo, k in zip(low, n)]
             at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("anchor", "doc_id", "start", "n", "copies")], binary_column(np.concatenate(parts), at)], names=["anchor", "doc_id", "start", "n", "copies", "bytes"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], binary_column(np.concatenate(parts), at)], names=[*names, "bytes"])
 
     return work
 
 
 def border_hits(width: int):
-    """(doc_id, lo, hi) of the repeated windows among differing contexts, which come sorted by anchor."""
+    """(doc_id, text_key, lo, hi) of the repeated windows among differing contexts, which come sorted by (anchor, lo, hi)."""
 
     def solve(rows):
-        contexts, counts = [np.frombuffer(r[4], np.uint8) for r in rows], np.array([r[2] for r in rows])
-        chunk = np.cumsum([len(c) + 1 for c in contexts]) // (SORT_BYTES // 2 - 2048)
-        hits = [np.zeros(n, dtype=bool) for n in counts]
-        # one anchor with more contexts than are sorted at once: every two chunks together
-        for x in range(int(chunk[-1]) + 1):
-            for y in range(x + 1, int(chunk[-1]) + 1) if chunk[-1] else [0]:
-                part = np.flatnonzero((chunk == x) | (chunk == y))
-                for i, hit in zip(part, repeated_windows([contexts[i] for i in part], counts[part], width)):
-                    hits[i] |= hit
+        contexts, counts = [np.frombuffer(r[5], np.uint8) for r in rows], np.array([r[3] for r in rows])
         out = []
-        for (doc, start, _, copies, _), hit in zip(rows, hits):
-            if copies:
+        for (doc, key, start, _, k, _), hit in zip(rows, repeated_windows(contexts, counts, width)):
+            if k > 1:
                 continue  # decided already
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-            out += [(doc, start + lo, start + hi - 1 + width) for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist())]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "lo", "hi"])
+            out += [(doc, key, start + lo, start + hi - 1 + width) for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist())]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "text_key", "lo", "hi"])
 
     def work(batches):
         rows, size, last = [], 0, None
         for batch in batches:
-            for anchor, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "start", "n", "copies", "bytes"))):
-                if anchor != last and size >= SORT_BYTES // 3:
+            for anchor, lo, hi, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "lo", "hi", "doc_id", "text_key", "start", "n", "k", "bytes"))):
+                # several small anchors are sorted at once, but of one anchor no two pairs of blocks, which share contexts
+                if rows and (anchor, lo, hi) != last and (size >= BLOCK_BYTES or anchor == last[0]):
                     yield solve(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size, last = size + len(row[-1]), anchor
+                size, last = size + len(row[-1]), (anchor, lo, hi)
         if rows:
             yield solve(rows)
 
@@ -249,16 +208,23 @@ def border_hits(width: int):
 
 
 def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, spans): byte intervals covered by windows that start elsewhere too."""
+    """(doc_id, text_key, spans) of keyed docs: byte intervals covered by windows that start elsewhere too."""
     n = partitions(docs.sparkSession)
-    docs = columns_of(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    runs = docs.mapInArrow(runs_of(width, gram), "anchor long, context long, doc_id long, start int, n int")
-    found = staged(runs.repartition(n, "anchor").sortWithinPartitions("anchor", "context").mapInArrow(sorted_out, FOUND))
-    whole = found.where("kind = 0").select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + width).alias("hi"))
-    probes = found.where("kind = 1").drop("kind").distinct()
-    contexts = probes.join(docs, "doc_id").select("anchor", "doc_id", "start", "n", "copies", "text").mapInArrow(cut_contexts(width), "anchor long, doc_id long, start int, n int, copies boolean, bytes binary")
-    borders = contexts.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(border_hits(width), "doc_id long, lo int, hi int")
-    return whole.unionByName(borders).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    combined = docs.mapInArrow(runs_of(width, gram, True), f"{RUN}, k long").repartition(n, "anchor")
+    contexts = combined.groupBy("anchor", "c1", "c2").agg(F.sum("k").alias("k"), F.min(F.struct("doc_id", "text_key", "start", "n")).alias("run"))
+    contexts = staged(contexts.withColumn("contexts", F.count("*").over(W.partitionBy("anchor"))).where("k > 1 OR contexts > 1"))
+    runs = docs.mapInArrow(runs_of(width, gram, False), RUN).drop("anchor")
+    # the hint keeps one strategy at every size, in which hot contexts are split
+    whole = runs.join(contexts.where("k > 1").select("c1", "c2").distinct().hint("merge"), ["c1", "c2"], "left_semi")
+    whole = whole.select("doc_id", "text_key", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + width).alias("hi"))
+    probes = contexts.where("contexts > 1").select("anchor", "c1", "k", "run.*")
+    blocks = probes.groupBy("anchor").agg(F.ceil(F.sum(F.col("n") + width) / BLOCK_BYTES).cast("int").alias("blocks"))
+    probes = probes.join(blocks, "anchor").withColumn("block", F.pmod("c1", F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    probes = probes.select("anchor", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "doc_id", "text_key", "start", "n", "k")
+    cut_out = probes.join(docs, ["doc_id", "text_key"]).select(*probes.columns, "text").mapInArrow(cut_contexts(width), "anchor long, lo int, hi int, doc_id long, text_key long, start int, n int, k long, bytes binary")
+    borders = cut_out.repartition(n, "anchor", "lo", "hi").sortWithinPartitions("anchor", "lo", "hi").mapInArrow(border_hits(width), "doc_id long, text_key long, lo int, hi int")
+    return whole.unionByName(borders).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def cut(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -281,7 +247,8 @@ def cut(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
                 kept.append(rest)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (size, removed, spans)], pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = columns_of(docs, "doc_id", "text").join(repeated_bytes(docs, width, gram), "doc_id", "left")
+    docs = keyed(docs)
+    joined = docs.join(repeated_bytes(docs, width, gram), ["doc_id", "text_key"], "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

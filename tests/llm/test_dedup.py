@@ -35,12 +35,15 @@ def test_suffixes(spark, docs):
         assert got == brute.bytes_cut(docs, width)
 
 
-def test_suffixes_in_chunks(spark, docs, monkeypatch):
-    """An anchor with more contexts than one sort takes is sorted by pairs of chunks."""
-    rows = [(i, 3, 30, False, bytes(np.random.default_rng(i % 3).integers(97, 99, 89, dtype=np.uint8))) for i in range(12)]
-    contexts = [np.frombuffer(r[4], np.uint8) for r in rows]
-    whole = suffix_dedup.repeated_windows(contexts, np.full(12, 30), 60)
-    assert all(w.all() for w in whole)
+def test_suffixes_in_blocks(spark, docs, monkeypatch):
+    """An anchor with more contexts than one block holds is sorted by pairs of blocks."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 500)
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdef ") for _ in range(900))
+    near = [(1000 + i, base[: 20 * i] + "#" + base[20 * i :]) for i in range(40)]
+    for rows in (docs, near):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], brute.sha(bytes(r["kept"]))) for r in suffix_dedup.cut(frame(spark, rows), 60, 20).collect()}
+        assert got == brute.bytes_cut(rows, 60)
 
 
 def test_suffix_array():
@@ -87,17 +90,54 @@ def test_keys_over_batches():
     assert out == [(5, 7), (5, 9), (1, 2)]
 
 
-def test_runs_over_batches():
-    """One row at a time gives what one batch does, for both streaming kernels."""
+def test_grams_and_runs_of_one_text_do_not_depend_on_others():
     import pyarrow as pa
 
     rng = np.random.default_rng(5)
-    rows = sorted((int(rng.integers(3)), int(rng.integers(2)), i, 0, 2) for i in range(30))
-    table = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["anchor", "context", "doc_id", "start", "n"])
-    whole = [r for b in suffix_dedup.sorted_out([table]) for r in b.to_pylist()]
-    single = [r for b in suffix_dedup.sorted_out([table.slice(i, 1) for i in range(30)]) for r in b.to_pylist()]
-    key = lambda r: (r["kind"], r["anchor"], r["doc_id"])
-    assert sorted(whole, key=key) == sorted(single, key=key) and whole
+    texts = ["".join(chr(c) for c in rng.integers(97, 100, n)) for n in (700, 10, 900, 400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(range(4)), pa.array(texts)], names=["doc_id", "text_key", "text"])
+    for combine in (True, False):
+        work = suffix_dedup.runs_of(400, 128, combine)
+        whole = [r for b in work([batch]) for r in b.to_pylist()]
+        single = [r for b in work([batch.slice(i, 1) for i in range(4)]) for r in b.to_pylist()]
+        key = lambda r: (r["doc_id"], r["start"])
+        assert sorted(whole, key=key) == sorted(single, key=key) and sum(r["n"] for r in whole) == 301 + 501 + 1
+
+
+THUE_MORSE = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    """The Thue-Morse word and its complement meet under any polynomial modulo 2**64."""
+    other = THUE_MORSE.translate(str.maketrans("ab", "ba"))
+    for a, b in ((THUE_MORSE, other), (THUE_MORSE[:1024], other[:1024])):
+        docs = [(1, " ".join([a] * 3 + [f"w{i}" for i in range(47)])), (2, " ".join([b] * 3 + [f"w{i}" for i in range(47)]))]
+        assert [r["n_removed"] for r in substring_dedup.cut(frame(spark, docs)).collect()] == [0, 0]
+        docs = [(1, f"{a} x y z u"), (2, f"{b} x y z u")]
+        assert all(r["kept"] for r in near_dedup.linked(frame(spark, docs)).collect())
+    # as sequences of words, for lines
+    docs = [(1, " ".join(THUE_MORSE)), (2, " ".join(other))]
+    assert {r["doc_id"]: r["text"] for r in line_dedup.rewritten(frame(spark, docs)).collect()} == dict(docs)
+
+
+def test_rows_that_share_an_id_keep_what_is_their_own(spark):
+    a, b, c, fresh = (" ".join(f"{x}{i}" for i in range(120)) for x in "abcf")
+    docs = [(1, a), (5, f"{a} {c}"), (5, f"{b} {fresh}"), (7, c)]
+    got = {r["kept"]: r["n_removed"] for r in substring_dedup.cut(frame(spark, docs)).collect()}
+    assert got == {a: 0, c: 120, f"{b} {fresh}": 0, "": 120}
+    got = sorted((r["n_bytes"], r["n_removed"]) for r in suffix_dedup.cut(frame(spark, docs + [(1, "short"), (2, a)])).collect())
+    # the blank between a and c goes with neither: no 400-byte string with it starts twice
+    sizes = {x: len(x) for x in (a, b, c, fresh)}
+    assert got == sorted([(sizes[a], sizes[a])] * 2 + [(sizes[a] + sizes[c] + 1, sizes[a] + sizes[c]), (sizes[b] + sizes[fresh] + 1, 0), (sizes[c], sizes[c]), (5, 0)])
+    docs = [(1, "one two three four five"), (5, "one two three four five\nown"), (5, "six seven eight nine ten\nfirst"), (1, "short")]
+    got = sorted(r["text"] for r in line_dedup.rewritten(frame(spark, docs)).collect())
+    assert got == ["one two three four five", "own", "short", "six seven eight nine ten\nfirst"]
+
+
+def test_line_columns_of_the_same_name(spark):
+    docs = frame(spark, [(1, "a b c d e\nx"), (2, "a b c d e")]).selectExpr("*", "'n' AS _n_lines", "9 AS _cut_id", "8 AS _n_removed", "7 AS text_key")
+    got = {r["doc_id"]: (r["text"], r["_n_lines"], r["_n_removed"], r["text_key"]) for r in line_dedup.rewritten(docs).collect()}
+    assert got == {1: ("a b c d e\nx", 2, 0, 7), 2: ("", 1, 1, 7)}
 
 
 def lines_cut(docs):
