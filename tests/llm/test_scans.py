@@ -160,8 +160,8 @@ def test_model_on_held_out_templates():
 # --- 4 ---
 
 
-def kneser_ney(train: list[list[str]], order: int = 3):
-    """A plain interpolated modified Kneser-Ney model of lower-case words with two marks before each text."""
+def kneser_ney(train: list[list[str]], order: int = 3, least: int = 1):
+    """A plain interpolated modified Kneser-Ney model of lower-case words with two marks before each text; grams below ``least`` are left out above unigrams."""
     grams = [collections.Counter() for _ in range(order + 1)]
     for words in train:
         w = ["<s>", "<s>", *words]
@@ -183,7 +183,7 @@ def kneser_ney(train: list[list[str]], order: int = 3):
     for n in (1, 2, 3):
         for g, c in grams[n].items():
             total[n][g[:-1]] += c
-            lost[n][g[:-1]] += off(n, c)
+            lost[n][g[:-1]] += off(n, c) if n == 1 or c >= least else c
 
     def p(n, g):
         if n == 0:
@@ -191,7 +191,7 @@ def kneser_ney(train: list[list[str]], order: int = 3):
         h = g[:-1]
         if not total[n][h]:
             return p(n - 1, g[1:])
-        c = grams[n][g]
+        c = grams[n][g] if n == 1 or grams[n][g] >= least else 0
         return (c - off(n, c) if c else 0) / total[n][h] + lost[n][h] / total[n][h] * p(n - 1, g[1:])
 
     return lambda words: -sum(math.log(p(3, tuple((["<s>", "<s>"] + words)[i : i + 3]))) for i in range(len(words)))
@@ -201,14 +201,15 @@ def test_model_equals_a_plain_one(spark):
     rng = random.Random(6)
     say = lambda: " ".join(rng.choice("a b c d e f g Hh".split()) for _ in range(rng.randint(1, 30)))
     train, test = [say() for _ in range(25)], [say() for _ in range(10)] + ["new words here", "a zz b", "", None]
-    model = quality.fitted(spark.createDataFrame([(t, "en") for t in train], "text string, lang string"))
-    plain = kneser_ney([t.lower().split() for t in train])
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(test)], "doc_id long, text string, lang string")
-    for shipped_rows in (quality.SHIPPED_ROWS, 0):
-        got = {r["doc_id"]: (r["n_words"], r["nll"]) for r in quality.scores(docs, model, shipped_rows)[0].collect()}
-        for i, t in enumerate(test):
-            words = (t or "").lower().split()
-            assert got[i][0] == len(words) and got[i][1] == pytest.approx(plain(words), abs=1e-6)
+    docs = spark.createDataFrame([(i, t, "en", 0) for i, t in enumerate(test)], "doc_id long, text string, lang string, text_key long")
+    for least in (1, 2):
+        model = quality.fitted(spark.createDataFrame([(t, "en") for t in train], "text string, lang string"), least)
+        plain = kneser_ney([t.lower().split() for t in train], least=least)
+        for shipped_rows in (quality.SHIPPED_ROWS, 0):
+            got = {r["doc_id"]: (r["n_words"], r["nll"]) for r in quality.scores(docs, model, shipped_rows)[0].collect()}
+            for i, t in enumerate(test):
+                words = (t or "").lower().split()
+                assert got[i][0] == len(words) and got[i][1] == pytest.approx(plain(words), abs=1e-6)
 
 
 def test_classifier_keeps_prose_and_drops_junk(spark):
@@ -223,6 +224,9 @@ def test_classifier_keeps_prose_and_drops_junk(spark):
     assert sum(out[i] for i in range(400) if i % 10) >= 0.99 * 360
     kept = quality.accepted(docs, labels)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, k in out.items() if k}
+    # a good text beside a rejected one of the same id and length stays
+    twice = docs.union(spark.createDataFrame([(10, rows[1][1] + " of" * (len(rows[10][1].split()) - 60), "en", 0, 1)], docs.schema))
+    assert [r["text"][:1] for r in quality.accepted(twice, labels).where("doc_id = 10").collect()] != ["|"]
     assert quality.classified(docs, labels.limit(0)).where("NOT kept").count() == 0
     assert quality.classified(docs.limit(0), labels).count() == 0
 
