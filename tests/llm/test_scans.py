@@ -92,6 +92,49 @@ def test_recall_and_scores(spark):
     assert hit / total >= 0.9
 
 
+def recall_against_sql(spark, sf, found):
+    """Share of the true neighbours found; every score must be the measure itself."""
+    from tests.compare import connect
+
+    want = {(r[0], r[2]): r[3] for r in connect(sf).execute(nearest.OP2_SQL).fetchall()}
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in found.collect()}
+    assert len(got) == len(want) and all(abs(got[p] - want[p]) < 1e-12 for p in set(got) & set(want))
+    return len(set(got) & set(want)) / len(want)
+
+
+def test_recall_on_whole_tables(spark, monkeypatch):
+    for sf in (SF, "/root/testdata/sf0.1"):
+        assert recall_against_sql(spark, sf, nearest.op2(spark, sf)) >= 0.95
+    monkeypatch.setattr(nearest, "CELL_ROWS", 100)  # 32 cells, some split
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(nearest, "QUERY_ROWS", 20)
+    assert recall_against_sql(spark, sf, nearest.op2(spark, sf)) >= 0.95
+
+
+def test_cells_out_of_reach_are_not_visited(spark, monkeypatch):
+    """In clusters far apart a query visits few cells and still finds all."""
+    rng = np.random.default_rng(14)
+    centres = rng.standard_normal((16, 24)) * 3
+    x = centres[np.arange(4000) % 16] + 0.02 * rng.standard_normal((4000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(nearest, "CELL_ROWS", 128)
+    frame = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    out = nearest.nearest(frame, F.col("id") % 20 == 0).toPandas()
+    truth = x.astype(np.float32).astype(float)
+    hit = 0
+    for q, part in out.groupby("query_id"):
+        s = truth @ truth[q]
+        s[q] = -np.inf
+        hit += len(set(part["vec_id"]) & set(np.lexsort((np.arange(4000), -s))[:20].tolist()))
+    assert hit / (200 * 20) >= 0.95 and len(out) == 200 * 20
+
+
+def test_repeated_ids_of_queries_and_many_equal_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (2, [1.0, 0.5]), (2, [0.25, 1.0])] + [(i, [0.5, 0.5]) for i in range(100, 19, -1)]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest.nearest(vectors(spark, rows), F.col("id") == 0, 5).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 1.0), (0, 2, 2, 0.5), (0, 3, 20, 0.5), (0, 4, 21, 0.5), (0, 5, 22, 0.5)]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [1.0, 0.0]), (None, [1.0, 1.0]), (20, [0.5, 0.5]), (9, [1.0, 2.0, 3.0])]
