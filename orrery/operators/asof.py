@@ -6,27 +6,60 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from orrery.operators.lineage import staged
+
+#: Rows of one chunk of a timeline, and the most chunks.
+CHUNK_ROWS, MOST_CHUNKS = 500_000, 256
+
+
+def chunk_of(rows: DataFrame, on: str) -> Column | None:
+    """The number of a row's chunk, or None if one is enough: chunks follow in time, hold about CHUNK_ROWS rows each, and equal times share one."""
+    chunks = min(MOST_CHUNKS, rows.count() // CHUNK_ROWS + 1)
+    if chunks == 1:
+        return None
+    bounds = sorted(set(rows.agg(F.percentile_approx(on, [k / chunks for k in range(1, chunks)], 4 * MOST_CHUNKS)).first()[0]))
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(on)))
+
+
+def beyond(out: DataFrame, both: DataFrame, by: list[str]) -> DataFrame:
+    """out with _b and _a filled from the chunks before and after."""
+    ends = both.where("_side = 0").groupBy(*by, "_chunk").agg(F.min("_mark").alias("_first"), F.max("_mark").alias("_last"))
+    # every chunk of a key that has a left row, with the last mark before and the first after it
+    ends = ends.unionByName(both.where("_side = 1").select(*by, "_chunk").distinct(), allowMissingColumns=True)
+    ends = ends.groupBy(*by, "_chunk").agg(F.max("_first").alias("_first"), F.max("_last").alias("_last"))
+    chunks = W.partitionBy(*by)
+    ends = ends.withColumn("_before", F.max("_last").over(chunks.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)))
+    ends = ends.withColumn("_after", F.min("_first").over(chunks.orderBy(F.desc("_chunk")).rowsBetween(W.unboundedPreceding, -1))).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_chunk").alias("_c"), "_before", "_after")
+    same = F.col("_chunk") == F.col("_c")
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = out.join(ends, same, "left")
+    return out.withColumn("_b", F.coalesce("_b", "_before")).withColumn("_a", F.coalesce("_a", "_after"))
+
 
 def nearest_asof(left: DataFrame, right: DataFrame, on: str, value: str, tolerance: float | None = None, by: Sequence[str] = (), keep: bool = False) -> DataFrame:
     """Each left row with the right row nearest in ``on``; on equal gaps the earlier.
 
-    Both sides are tagged, unioned and sorted once; the last right row at or before
-    and the first at or after come from two running windows, so the cost is one
-    shuffle and one sort.  ``on`` is numeric.  Rows of the left whose nearest gap
-    exceeds ``tolerance`` (equality passes) are dropped, or kept with nulls if
-    ``keep``.  Added are ``match_<on>``, ``match_<value>`` and ``gap``.  Of right
-    rows at one time the one with the least ``value`` counts.
-
-    Without ``by`` keys all rows share one timeline: give keys where there are any.
+    Both sides are tagged, unioned and dealt by key and chunk of time; within a chunk
+    two running windows, one in each direction, carry the last right row along.  The
+    first and last right row of each chunk, a small table, fill in what lies beyond
+    a chunk's ends, so neither one timeline nor one hot key is one task.  ``on`` is
+    numeric.  Rows of the left whose nearest gap exceeds ``tolerance`` (equality
+    passes) are dropped, or kept with nulls if ``keep``.  Added are ``match_<on>``,
+    ``match_<value>`` and ``gap``.  Of right rows at one time the one with the least
+    ``value`` counts; a null key is one of its own, and null times match nothing.
     """
     by = list(by)
-    rows = left.withColumn("_side", F.lit(1))
-    other = right.groupBy(*by, on).agg(F.min(value).alias("_value")).withColumn("_side", F.lit(0))
-    both = rows.unionByName(other, allowMissingColumns=True)
-    mark = F.when(F.col("_side") == 0, F.struct(F.col(on).alias("t"), F.col("_value").alias("v")))
-    back = W.partitionBy(*by).orderBy(F.col(on), F.col("_side")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    ahead = W.partitionBy(*by).orderBy(F.col(on), F.col("_side").desc()).rowsBetween(W.currentRow, W.unboundedFollowing)
-    out = both.withColumn("_b", F.last(mark, ignorenulls=True).over(back)).withColumn("_a", F.first(mark, ignorenulls=True).over(ahead)).where("_side = 1")
+    other = right.groupBy(*by, on).agg(F.min(value).alias("_value")).where(F.col(on).isNotNull()).withColumn("_side", F.lit(0))
+    both = left.withColumn("_side", F.lit(1)).unionByName(other, allowMissingColumns=True)
+    both = both.withColumn("_mark", F.when(F.col("_side") == 0, F.struct(F.col(on).alias("t"), F.col("_value").alias("v"))))
+    chunk = chunk_of(both.select(on), on)
+    both = both.withColumn("_chunk", F.lit(0)) if chunk is None else staged(both.withColumn("_chunk", chunk))
+    running = lambda *order: W.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = both.withColumn("_b", F.last("_mark", ignorenulls=True).over(running(F.col(on), F.col("_side"))))
+    out = out.withColumn("_a", F.last("_mark", ignorenulls=True).over(running(F.col(on).desc(), F.col("_side")))).where("_side = 1")
+    if chunk is not None:
+        out = beyond(out, both, by)
     gap_b, gap_a = F.col(on) - F.col("_b.t"), F.col("_a.t") - F.col(on)
     pick = F.when(F.col("_a").isNull() | (gap_b <= gap_a), F.col("_b")).otherwise(F.col("_a"))
     out = out.withColumn("_m", pick).withColumn("gap", F.abs(F.col("_m.t") - F.col(on)))
@@ -42,7 +75,7 @@ def align(frames: DataFrame, streams: dict[str, DataFrame], on: str, value: str,
     """Frames with the nearest row of every stream; a frame goes if any stream is beyond the tolerance."""
     out = frames
     for name, stream in streams.items():
-        out = nearest_asof(out, stream, on, value, tolerance)
+        out = staged(nearest_asof(out, stream, on, value, tolerance))
         out = out.withColumnsRenamed({f"match_{on}": f"{name}_{on}", f"match_{value}": f"{name}_{value}", "gap": f"{name}_gap"})
     return out
 

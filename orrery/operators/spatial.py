@@ -7,8 +7,12 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Rows up to which the right side of an exhaustive nearest search may be broadcast (checked by count).
-BROADCAST_ROWS = 100_000
+from orrery.operators.lineage import staged
+
+#: Pairs up to which all are compared: the right side is then broadcast (both sides counted, at most this many rows).
+ALL_PAIRS = 1_000_000
+#: Right rows of a grid cell from which it is split.
+CELL_ROWS = 50_000
 
 
 def cell(x: Column | str, size: float) -> Column:
@@ -22,61 +26,65 @@ def distance2(dims: Sequence[str], left: str = "l", right: str = "r") -> Column:
     return total
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, dims: Sequence[str], salt: int = 1) -> DataFrame:
-    """Pairs within ``radius``, the border included, as l.* and r.* with d2.
+def radius_join(left: DataFrame, right: DataFrame, radius: float, dims: Sequence[str], salt: int | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs within ``radius``, the border included, as l.* and r.* with d2; equal in the columns ``by``.
 
     The left side is copied to the neighbouring cells, so give the smaller one
-    there; the right is dealt by cell alone.  ``salt`` splits crowded cells: right
-    rows of a cell are dealt into that many parts and left rows go to each.
+    there; the right is dealt by cell alone.  Crowded cells are split: right rows of
+    a cell are dealt into ``salt`` parts and left rows go to each; without a number
+    the fullest cell is counted and parts hold about CELL_ROWS rows.
     """
-    cells = [f"_c{i}" for i in range(len(dims))]
+    cells, keys = [f"_c{i}" for i in range(len(dims))], [f"_k{i}" for i in range(len(by))]
     around = F.array(*[F.struct(*[(cell(F.col(d), radius) + o).alias(c) for d, o, c in zip(dims, offset, cells)]) for offset in product((-1, 0, 1), repeat=len(dims))])
-    near = left.select(F.struct(*[F.col(c) for c in left.columns]).alias("l"), F.explode(around).alias("_cell")).select("l", "_cell.*")
+    far = right.select(F.struct(*[F.col(c) for c in right.columns]).alias("r"), *[cell(d, radius).alias(c) for d, c in zip(dims, cells)], *[F.col(b).alias(k) for b, k in zip(by, keys)])
+    if salt is None:
+        fullest = far.groupBy(*cells, *keys).count().agg(F.max("count")).first()[0]
+        salt = (fullest or 0) // CELL_ROWS + 1
+    near = left.select(F.struct(*[F.col(c) for c in left.columns]).alias("l"), F.explode(around).alias("_cell"), *[F.col(b).alias(k) for b, k in zip(by, keys)]).select("l", "_cell.*", *keys)
     near = near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    far = right.select(F.struct(*[F.col(c) for c in right.columns]).alias("r"), *[cell(d, radius).alias(c) for d, c in zip(dims, cells)])
     far = far.withColumn("_salt", F.pmod(F.xxhash64("r"), F.lit(salt)).cast("int"))
-    pairs = near.join(far, [*cells, "_salt"]).withColumn("d2", distance2(dims))
+    pairs = near.join(far, [*cells, *keys, "_salt"]).withColumn("d2", distance2(dims))
     return pairs.where(F.col("d2") <= radius * radius).select("l", "r", "d2")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, dims: Sequence[str], by: Sequence[str] = (), k: int = 1, start: float | None = None, rounds: int = 24) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, dims: Sequence[str], by: Sequence[str] = (), k: int = 1, start: float | None = None) -> DataFrame:
     """The k nearest right rows of each left row: (key, right_key, rank, d2); ties to the least right_key.
 
-    ``by`` columns must be equal on both sides.  A right side of at most
-    BROADCAST_ROWS rows (counted) is broadcast and ranked with a running top k; a
-    larger one is searched by grid: cells of a growing size are joined with their
-    neighbours until k rows lie within one cell's size of every left row.
+    ``by`` columns must be equal on both sides.  A grid is searched in rounds: cells
+    are joined with their neighbours until k rows lie within one cell's size of a
+    left row; rows that lack them go on to cells twice as large, up to a size that
+    holds everything.  Only up to ALL_PAIRS pairs (counted) are all compared.  Rows
+    without a position match nothing.
     """
     by = list(by)
-    if right.count() <= BROADCAST_ROWS:
+    placed = lambda df: df.where(" AND ".join(f"{d} IS NOT NULL" for d in dims))
+    left, right = placed(left), placed(right)
+    n_left, n_right = left.count(), right.count()
+    if n_left * n_right <= ALL_PAIRS:
         l, r = left.alias("l"), F.broadcast(right).alias("r")
         on = [F.col(f"l.{b}") == F.col(f"r.{b}") for b in by]
         pairs = l.join(r, on if on else None, "inner" if on else "cross")
         pairs = pairs.select(F.col(f"l.{key}").alias(key), F.col(f"r.{right_key}").alias(right_key), distance2(dims).alias("d2"))
         return _ranked(pairs, key, right_key, k)
-    spans = right.agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims], F.count("*").alias("n")).first()
+    ends = left.select(*dims).unionByName(right.select(*dims)).agg(*[f(d).alias(f"{name}{d}") for d in dims for name, f in (("low", F.min), ("high", F.max))]).first()
+    spans = [max(float(ends[f"high{d}"] - ends[f"low{d}"]), 1e-9) for d in dims]
     volume = 1.0
-    for d in dims:
-        volume *= max(float(spans[d] or 0.0), 1e-9)
-    size = start or max((volume * k / max(spans["n"], 1)) ** (1 / len(dims)), 1e-9)
+    for span in spans:
+        volume *= span
+    size, whole = start or (volume * k / max(n_right, 1)) ** (1 / len(dims)), sum(span * span for span in spans) ** 0.5
     todo, done = left, None
-    for _ in range(rounds):
-        pairs = radius_join(todo, right, size, dims)
-        for b in by:
-            pairs = pairs.where(F.col(f"l.{b}") == F.col(f"r.{b}"))
+    while True:
+        last = size >= whole  # all pairs lie within the size
+        pairs = radius_join(todo, right, size * (1 + 1e-9), dims, by=by)
         found = _ranked(pairs.select(F.col(f"l.{key}").alias(key), F.col(f"r.{right_key}").alias(right_key), "d2"), key, right_key, k)
-        full = found.where(F.col("rank") == k).select(key)
-        found = found.join(full, key, "left_semi")
+        if not last:
+            found = found.join(found.where(F.col("rank") == k).select(key), key, "left_semi")
+        found = staged(found)
         done = found if done is None else done.unionByName(found)
-        todo = todo.join(full, key, "left_anti")
-        if todo.isEmpty():
+        todo = staged(todo.join(found.select(key).distinct(), key, "left_anti"))
+        if last or todo.isEmpty():
             return done
         size *= 2
-    # fewer than k rows in reach for what is left: rank all of them
-    l, r = todo.alias("l"), right.alias("r")
-    on = [F.col(f"l.{b}") == F.col(f"r.{b}") for b in by]
-    rest = l.join(r, on if on else None, "inner" if on else "cross").select(F.col(f"l.{key}").alias(key), F.col(f"r.{right_key}").alias(right_key), distance2(dims).alias("d2"))
-    return done.unionByName(_ranked(rest, key, right_key, k))
 
 
 def _ranked(pairs: DataFrame, key: str, right_key: str, k: int) -> DataFrame:

@@ -27,6 +27,26 @@ def test_a_frame_goes_with_one_stream(spark):
     assert asof.align(frames, {"a": near, "b": far}, "t", "v", 5).count() == 0
 
 
+def test_asof_over_chunks_equals_a_plain_search(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, int(k), int(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(0, 500, 400)))]
+    marks = [(1000 + i, int(k), int(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 2, 60), rng.integers(100, 380, 60)))]
+    left = spark.createDataFrame(rows + [(900, 0, None), (901, None, 5)], "i int, k int, t int")
+    right = spark.createDataFrame(marks + [(2000, 0, None)], "v int, k int, t int")
+    for size in (asof.CHUNK_ROWS, 40):
+        monkeypatch.setattr(asof, "CHUNK_ROWS", size)
+        for by in ([], ["k"]):
+            want = {}
+            for i, k, t in rows:
+                near = [(abs(u - t), u, v) for v, q, u in marks if not by or q == k]
+                if near:
+                    want[i] = min(near)
+            if not by:
+                want[901] = min((abs(u - 5), u, v) for v, _, u in marks)
+            got = {r["i"]: (r["gap"], r["match_t"], r["match_v"]) for r in asof.nearest_asof(left, right.select(*by, "t", "v"), "t", "v", by=by).collect()}
+            assert got == want
+
+
 def test_mode_ties_and_support(spark):
     c = spark.createDataFrame([(1, 5, 2), (1, 3, 2), (2, 9, 1)], "g int, id int, n int")
     assert {r["g"]: r["id"] for r in A.mode(c, "g", "id", "n").collect()} == {1: 3, 2: 9}
@@ -66,7 +86,7 @@ def test_grid_search_equals_exhaustive(spark, monkeypatch):
     left = spark.createDataFrame([(i, *map(float, rng.random(2))) for i in range(40)], "l int, x double, y double")
     right = spark.createDataFrame([(i, *map(float, rng.random(2))) for i in range(200)], "r int, x double, y double")
     plain = {(r["l"], r["rank"]): r["r"] for r in spatial.nearest(left, right, "l", "r", ["x", "y"], k=3).collect()}
-    monkeypatch.setattr(spatial, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(spatial, "ALL_PAIRS", 10)
     assert {(r["l"], r["rank"]): r["r"] for r in spatial.nearest(left, right, "l", "r", ["x", "y"], k=3).collect()} == plain
 
 
