@@ -215,8 +215,8 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
     contexts = combined.groupBy("anchor", "c1", "c2").agg(F.sum("k").alias("k"), F.min(F.struct("doc_id", "text_key", "start", "n")).alias("run"))
     contexts = staged(contexts.withColumn("contexts", F.count("*").over(W.partitionBy("anchor"))).where("k > 1 OR contexts > 1"))
     runs = docs.mapInArrow(runs_of(width, gram, False), RUN).drop("anchor")
-    # the hint keeps one strategy at every size, in which hot contexts are split
-    whole = runs.join(contexts.where("k > 1").select("c1", "c2").distinct().hint("merge"), ["c1", "c2"], "left_semi")
+    # one strategy at every size, of two plain exchanges, in which hot contexts are split
+    whole = runs.join(contexts.where("k > 1").select("c1", "c2").hint("merge"), ["c1", "c2"], "left_semi")
     whole = whole.select("doc_id", "text_key", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1 + width).alias("hi"))
     probes = contexts.where("contexts > 1").select("anchor", "c1", "k", "run.*")
     blocks = probes.groupBy("anchor").agg(F.ceil(F.sum(F.col("n") + width) / BLOCK_BYTES).cast("int").alias("blocks"))
