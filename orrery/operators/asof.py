@@ -37,29 +37,36 @@ def beyond(out: DataFrame, both: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("_b", F.coalesce("_b", "_before")).withColumn("_a", F.coalesce("_a", "_after"))
 
 
-def nearest_asof(left: DataFrame, right: DataFrame, on: str, value: str, tolerance: float | None = None, by: Sequence[str] = (), keep: bool = False) -> DataFrame:
-    """Each left row with the right row nearest in ``on``; on equal gaps the earlier.
+def around(left: DataFrame, marks: DataFrame, on: str, by: Sequence[str] = ()) -> DataFrame:
+    """left with _b and _a, structs (t, the other columns of marks): the last mark at or before a row and the first at or after it.
 
     Both sides are tagged, unioned and dealt by key and chunk of time; within a chunk
-    two running windows, one in each direction, carry the last right row along.  The
-    first and last right row of each chunk, a small table, fill in what lies beyond
-    a chunk's ends, so neither one timeline nor one hot key is one task.  ``on`` is
-    numeric.  Rows of the left whose nearest gap exceeds ``tolerance`` (equality
-    passes) are dropped, or kept with nulls if ``keep``.  Added are ``match_<on>``,
-    ``match_<value>`` and ``gap``.  Of right rows at one time the one with the least
-    ``value`` counts; a null key is one of its own, and null times match nothing.
+    two running windows, one in each direction, carry the last mark along.  The first
+    and last mark of each chunk, a small table, fill in what lies beyond a chunk's
+    ends, so neither one timeline nor one hot key is one task.
     """
     by = list(by)
-    other = right.groupBy(*by, on).agg(F.min(value).alias("_value")).where(F.col(on).isNotNull()).withColumn("_side", F.lit(0))
-    both = left.withColumn("_side", F.lit(1)).unionByName(other, allowMissingColumns=True)
-    both = both.withColumn("_mark", F.when(F.col("_side") == 0, F.struct(F.col(on).alias("t"), F.col("_value").alias("v"))))
+    carried = [c for c in marks.columns if c != on and c not in by]
+    marks = marks.where(F.col(on).isNotNull()).select(*by, on, F.struct(F.col(on).alias("t"), *carried).alias("_mark"), F.lit(0).alias("_side"))
+    both = left.withColumn("_side", F.lit(1)).unionByName(marks, allowMissingColumns=True)
     chunk = chunk_of(both.select(on), on)
     both = both.withColumn("_chunk", F.lit(0)) if chunk is None else staged(both.withColumn("_chunk", chunk))
     running = lambda *order: W.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     out = both.withColumn("_b", F.last("_mark", ignorenulls=True).over(running(F.col(on), F.col("_side"))))
     out = out.withColumn("_a", F.last("_mark", ignorenulls=True).over(running(F.col(on).desc(), F.col("_side")))).where("_side = 1")
-    if chunk is not None:
-        out = beyond(out, both, by)
+    return beyond(out, both, by) if chunk is not None else out
+
+
+def nearest_asof(left: DataFrame, right: DataFrame, on: str, value: str, tolerance: float | None = None, by: Sequence[str] = (), keep: bool = False) -> DataFrame:
+    """Each left row with the right row nearest in ``on``; on equal gaps the earlier.
+
+    ``on`` is numeric.  Rows of the left whose nearest gap exceeds ``tolerance``
+    (equality passes) are dropped, or kept with nulls if ``keep``.  Added are
+    ``match_<on>``, ``match_<value>`` and ``gap``.  Of right rows at one time the one
+    with the least ``value`` counts; a null key is one of its own, and null times
+    match nothing.
+    """
+    out = around(left, right.groupBy(*by, on).agg(F.min(value).alias("v")), on, by)
     gap_b, gap_a = F.col(on) - F.col("_b.t"), F.col("_a.t") - F.col(on)
     pick = F.when(F.col("_a").isNull() | (gap_b <= gap_a), F.col("_b")).otherwise(F.col("_a"))
     out = out.withColumn("_m", pick).withColumn("gap", F.abs(F.col("_m.t") - F.col(on)))

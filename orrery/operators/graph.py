@@ -62,12 +62,12 @@ def bridge(nodes: DataFrame, edges: DataFrame, dims: list[str], gamma: float = 1
         placed = staged(nodes.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id")))
         if placed.select("component").distinct().limit(2).count() < 2:
             break
-        a, b = placed.alias("l"), placed.alias("r")
-        from orrery.operators.spatial import distance2
+        from orrery.operators.spatial import nearest
 
-        pairs = a.join(b, F.col("l.component") != F.col("r.component")).withColumn("d", F.sqrt(distance2(dims)))
-        best = pairs.groupBy(F.col("l.component").alias("c")).agg(F.min(F.struct("d", F.least("l.id", "r.id").alias("src"), F.greatest("l.id", "r.id").alias("dst"))).alias("m"))
-        new = best.select("m.src", "m.dst", "m.d").distinct()
+        other = placed.withColumnRenamed("id", "other").select("other", "component", *dims)
+        best = nearest(placed.select("id", "component", *dims), other, "id", "other", dims, apart="component").join(placed.select("id", "component"), "id")
+        best = best.groupBy("component").agg(F.min(F.struct("d2", F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst"))).alias("m"))
+        new = best.select("m.src", "m.dst", F.sqrt("m.d2").alias("d")).distinct()
         if vector:
             u = nodes.select(F.col("id").alias("src"), F.col(vector).alias("_u"))
             v = nodes.select(F.col("id").alias("dst"), F.col(vector).alias("_v"))
@@ -84,7 +84,7 @@ def shortest_path(edges: DataFrame, start: int, goal: int, weight: str = "weight
     """(seq, node, cost) along the cheapest way from start to goal, both directions of an edge alike; empty if there is none.
 
     Relaxation from the frontier: a round offers its neighbours only what the last
-    round improved.  Edges of infinite weight are not taken.  Ties go to the smaller
+    round improved, as long as that costs less than the goal so far.  Edges of infinite weight are not taken.  Ties go to the smaller
     parent.
     """
     spark = edges.sparkSession
@@ -92,14 +92,16 @@ def shortest_path(edges: DataFrame, start: int, goal: int, weight: str = "weight
     both = staged(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.min("w").alias("w")))
     schema = "node long, cost double, parent long"
     known = spark.createDataFrame([(start, 0.0, None)], schema)
-    frontier = known
-    for i in range(rounds):
+    frontier, best = known, None
+    for _ in range(rounds):
         offers = frontier.join(both, frontier["node"] == both["src"]).groupBy("dst").agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("node").alias("parent"))).alias("o"))
         offers = offers.select(F.col("dst").alias("node"), F.col("o.cost").alias("new"), F.col("o.parent").alias("via"))
         better = offers.join(known, "node", "left").where(F.col("cost").isNull() | (F.col("new") < F.col("cost"))).select("node", F.col("new").alias("cost"), F.col("via").alias("parent"))
-        frontier = staged(better)
+        frontier = staged(better if best is None else better.where(F.col("cost") < best))  # what costs as much as the goal leads nowhere
         if frontier.isEmpty():
             break
+        reached = frontier.where(F.col("node") == goal).first()
+        best = reached["cost"] if reached else best
         known = staged(known.join(frontier, "node", "left_anti").unionByName(frontier))
     steps, at = [], goal
     row = known.where(F.col("node") == at).first()

@@ -47,23 +47,24 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, dims: Sequence
     return pairs.where(F.col("d2") <= radius * radius).select("l", "r", "d2")
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, dims: Sequence[str], by: Sequence[str] = (), k: int = 1, start: float | None = None) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, dims: Sequence[str], by: Sequence[str] = (), k: int = 1, start: float | None = None, apart: str | None = None) -> DataFrame:
     """The k nearest right rows of each left row: (key, right_key, rank, d2); ties to the least right_key.
 
-    ``by`` columns must be equal on both sides.  A grid is searched in rounds: cells
+    ``by`` columns must be equal on both sides, the column ``apart`` must differ.  A grid is searched in rounds: cells
     are joined with their neighbours until k rows lie within one cell's size of a
     left row; rows that lack them go on to cells twice as large, up to a size that
     holds everything.  Only up to ALL_PAIRS pairs (counted) are all compared.  Rows
     without a position match nothing.
     """
     by = list(by)
+    differ = (lambda pairs: pairs.where(F.col(f"l.{apart}") != F.col(f"r.{apart}"))) if apart else lambda pairs: pairs
     placed = lambda df: df.where(" AND ".join(f"{d} IS NOT NULL" for d in dims))
     left, right = placed(left), placed(right)
     n_left, n_right = left.count(), right.count()
     if n_left * n_right <= ALL_PAIRS:
         l, r = left.alias("l"), F.broadcast(right).alias("r")
         on = [F.col(f"l.{b}") == F.col(f"r.{b}") for b in by]
-        pairs = l.join(r, on if on else None, "inner" if on else "cross")
+        pairs = differ(l.join(r, on if on else None, "inner" if on else "cross"))
         pairs = pairs.select(F.col(f"l.{key}").alias(key), F.col(f"r.{right_key}").alias(right_key), distance2(dims).alias("d2"))
         return _ranked(pairs, key, right_key, k)
     ends = left.select(*dims).unionByName(right.select(*dims)).agg(*[f(d).alias(f"{name}{d}") for d in dims for name, f in (("low", F.min), ("high", F.max))]).first()
@@ -75,7 +76,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, dims: S
     todo, done = left, None
     while True:
         last = size >= whole  # all pairs lie within the size
-        pairs = radius_join(todo, right, size * (1 + 1e-9), dims, by=by)
+        pairs = differ(radius_join(todo, right, size * (1 + 1e-9), dims, by=by))
         found = _ranked(pairs.select(F.col(f"l.{key}").alias(key), F.col(f"r.{right_key}").alias(right_key), "d2"), key, right_key, k)
         if not last:
             found = found.join(found.where(F.col("rank") == k).select(key), key, "left_semi")

@@ -59,17 +59,26 @@ def q3(t: Tables) -> DataFrame:
     return hits(t, "ms_medoid")
 
 
-@query("q4_objects_trim")
+TRIM = "ce AS (SELECT gidx, list(v ORDER BY pos) AS e FROM mean GROUP BY gidx), rk AS (SELECT cnt.gidx, n, vec.e, row_number() OVER (PARTITION BY cnt.gidx ORDER BY round(1 - list_cosine_similarity(vec.e, ce.e), 12), clip_id) AS r, count(*) OVER (PARTITION BY cnt.gidx) AS k FROM cnt JOIN vec ON clip_id = vec_id JOIN ce ON ce.gidx = cnt.gidx), kx AS (SELECT gidx, n, unnest(e) AS v, generate_subscripts(e, 1) AS pos FROM rk WHERE r <= floor(k * (1 - 0.2))), km AS (SELECT gidx, pos, sum(n * v) / sum(n) AS v FROM kx GROUP BY 1, 2), pe AS (SELECT gidx, list(v ORDER BY pos) AS e FROM km GROUP BY gidx)"
+#: The points near the places of each task: of its regions above alpha (all if none is), the places above alpha (all if none is).
+ZONES = "rg AS (SELECT label, list(v ORDER BY pos) AS e FROM (SELECT label, pos, v / sqrt(sum(v * v) OVER (PARTITION BY label)) AS v FROM (SELECT label, pos, avg(v) AS v FROM (SELECT label, unnest(e) AS v, generate_subscripts(e, 1) AS pos FROM vec WHERE vec_id >= 8) GROUP BY 1, 2)) GROUP BY 1), tk AS (SELECT q - 3 AS task, e FROM qry WHERE q >= 3), zr AS (SELECT task, label, round(list_cosine_similarity(rg.e, tk.e), 9) > 0.15 AS good FROM rg, tk), zc AS (SELECT task, label FROM zr QUALIFY good OR NOT bool_or(good) OVER (PARTITION BY task)), zp AS (SELECT zc.task, vec_id AS id, round(list_cosine_similarity(vec.e, tk.e), 9) > 0.15 AS good FROM zc JOIN tk ON zc.task = tk.task JOIN vec ON vec.label = zc.label WHERE vec_id >= 8), zq AS (SELECT task, id FROM zp QUALIFY good OR NOT bool_or(good) OVER (PARTITION BY task)), zone AS (SELECT DISTINCT task, p_partkey AS gidx FROM zq, part WHERE pow(p_partkey * 37 % 101 - id * 37 % 101, 2) + pow(p_partkey * 53 % 97 - id * 53 % 97, 2) <= 100)"
+
+
+def zoned_sql(points_sql: str, condition: str) -> str:
+    return hits_sql(f"{points_sql}, {ZONES}") + f" WHERE {condition}"
+
+
+@query("q4_objects_trim", f"WITH {CNT}, {VEC}, {QRY}, {MEANS}, " + hits_sql(TRIM))
 def q4(t: Tables) -> DataFrame:
     return hits(t, "ms_trim")
 
 
-@query("q5_objects_3dsg_avg")
+@query("q5_objects_3dsg_avg", f"WITH {CNT}, {VEC}, {QRY}, {MEANS}, " + zoned_sql("pe AS (SELECT gidx, list(v ORDER BY pos) AS e FROM mean GROUP BY gidx)", "gidx IN (SELECT sc.gidx FROM sc JOIN zone ON sc.gidx = zone.gidx AND sc.q - 3 = zone.task WHERE sc.c > 0.15)"))
 def q5(t: Tables) -> DataFrame:
     return hits(t, "3dsg_avg")
 
 
-@query("q6_objects_3dsg_max")
+@query("q6_objects_3dsg_max", f"WITH {CNT}, {VEC}, {QRY}, " + zoned_sql("md AS (SELECT gidx, arg_max(clip_id, (n, -clip_id)) AS clip_id FROM cnt GROUP BY 1), pe AS (SELECT gidx, e FROM md JOIN vec ON clip_id = vec_id)", "gidx IN (SELECT gidx FROM zone)"))
 def q6(t: Tables) -> DataFrame:
     return hits(t, "3dsg_max")
 
@@ -128,14 +137,14 @@ def c6(t: Tables) -> DataFrame:
 
 
 def box_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Axis-aligned boxes of a few parts (truth) and of the same shifted (found), by size class."""
+    """Axis-aligned boxes of the parts with even ids (truth) and of those with odd ones (found), by size class."""
     eye = F.array(*[F.lit(float(i == j)) for i in range(3) for j in range(3)])
     side = lambda k: (F.col("p_partkey") % k + 4).cast("double")
-    base = t.part.where("p_size <= 8").select((F.col("p_size")).alias("task"), F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 101).cast("double").alias("cx"), (F.col("p_partkey") * 53 % 97).cast("double").alias("cy"), F.lit(0.0).alias("cz"), side(5).alias("ex"), side(3).alias("ey"), F.lit(4.0).alias("ez"), eye.alias("r"))
+    base = t.part.select((F.col("p_size")).alias("task"), F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 101).cast("double").alias("cx"), (F.col("p_partkey") * 53 % 97).cast("double").alias("cy"), F.lit(0.0).alias("cz"), side(5).alias("ex"), side(3).alias("ey"), F.lit(4.0).alias("ez"), eye.alias("r"))
     return base.where("id % 2 = 0"), base.where("id % 2 = 1")
 
 
-OVERLAP = "bx AS (SELECT p_size::INT AS task, p_partkey AS id, (p_partkey * 37 % 101)::DOUBLE AS cx, (p_partkey * 53 % 97)::DOUBLE AS cy, (p_partkey % 5 + 4)::DOUBLE AS ex, (p_partkey % 3 + 4)::DOUBLE AS ey FROM part WHERE p_size <= 8), ov AS (SELECT a.task, a.id AS gt, b.id AS pred, greatest(0, least(a.cx + a.ex / 2, b.cx + b.ex / 2) - greatest(a.cx - a.ex / 2, b.cx - b.ex / 2)) * greatest(0, least(a.cy + a.ey / 2, b.cy + b.ey / 2) - greatest(a.cy - a.ey / 2, b.cy - b.ey / 2)) * 4 AS i, a.ex * a.ey * 4 + b.ex * b.ey * 4 AS s FROM bx a JOIN bx b ON a.task = b.task WHERE a.id % 2 = 0 AND b.id % 2 = 1)"
+OVERLAP = "bx AS (SELECT p_size::INT AS task, p_partkey AS id, (p_partkey * 37 % 101)::DOUBLE AS cx, (p_partkey * 53 % 97)::DOUBLE AS cy, (p_partkey % 5 + 4)::DOUBLE AS ex, (p_partkey % 3 + 4)::DOUBLE AS ey FROM part), ov AS (SELECT a.task, a.id AS gt, b.id AS pred, greatest(0, least(a.cx + a.ex / 2, b.cx + b.ex / 2) - greatest(a.cx - a.ex / 2, b.cx - b.ex / 2)) * greatest(0, least(a.cy + a.ey / 2, b.cy + b.ey / 2) - greatest(a.cy - a.ey / 2, b.cy - b.ey / 2)) * 4 AS i, a.ex * a.ey * 4 + b.ex * b.ey * 4 AS s FROM bx a JOIN bx b ON a.task = b.task WHERE a.id % 2 = 0 AND b.id % 2 = 1)"
 
 
 @query("e8_iou", f"WITH {OVERLAP} SELECT task, gt, pred, round(i / (s - i), 4) AS iou FROM ov WHERE i > 1e-9")
@@ -153,13 +162,17 @@ def e8(t: Tables) -> DataFrame:
     return out.where("iou > 1e-9").select("task", "gt", "pred", F.round("iou", 4).alias("iou"))
 
 
-@query("j21_greedy_match")
+#: Pairs of each task in falling order of overlap, gone through one by one with what is taken already.
+GREEDY = OVERLAP.replace("SELECT a.task, a.id AS gt, b.id AS pred,", "SELECT a.task, a.id AS gt, b.id AS pred, abs(a.cx - b.cx) <= b.ex / 2 + 1e-12 AND abs(a.cy - b.cy) <= b.ey / 2 + 1e-12 AS gin, abs(a.cx - b.cx) <= a.ex / 2 + 1e-12 AND abs(a.cy - b.cy) <= a.ey / 2 + 1e-12 AS pin,") + ", rk AS (SELECT task, gt, pred, gin, pin, i / (s - i) AS iou, row_number() OVER (PARTITION BY task ORDER BY i / (s - i) DESC, gt, pred) AS k FROM ov WHERE i > 1e-3), go(task, k, g, p) AS (SELECT DISTINCT task, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM rk UNION ALL SELECT go.task, rk.k, CASE WHEN list_contains(g, gt) OR list_contains(p, pred) THEN g ELSE list_append(g, gt) END, CASE WHEN list_contains(g, gt) OR list_contains(p, pred) THEN p ELSE list_append(p, pred) END FROM go JOIN rk ON rk.task = go.task AND rk.k = go.k + 1), fin AS (SELECT task, unnest(g) AS gt, unnest(p) AS pred FROM go QUALIFY row_number() OVER (PARTITION BY task ORDER BY k DESC) = 1)"
+
+
+@query("j21_greedy_match", f"WITH RECURSIVE {GREEDY} SELECT fin.task, fin.gt, fin.pred, round(iou, 4) AS iou FROM fin JOIN rk ON rk.task = fin.task AND rk.gt = fin.gt AND rk.pred = fin.pred")
 def j21(t: Tables) -> DataFrame:
     truth, found = box_tables(t)
-    return boxes.matched(truth, found, "task").select("task", "gt", "pred", F.round("iou", 6).alias("iou"))
+    return boxes.matched(truth, found, "task").select("task", "gt", "pred", F.round("iou", 4).alias("iou"))
 
 
-@query("e5_acc_iou")
+@query("e5_acc_iou", f"WITH RECURSIVE {GREEDY}, m AS (SELECT rk.* FROM fin JOIN rk ON rk.task = fin.task AND rk.gt = fin.gt AND rk.pred = fin.pred), n AS (SELECT count(*) AS n FROM bx WHERE id % 2 = 0) SELECT round(count(*) FILTER (gin) / (SELECT n FROM n), 6) AS relaxed, round(count(*) FILTER (gin AND pin) / (SELECT n FROM n), 6) AS strict, round(coalesce(avg(iou), 0), 6) AS mean_iou FROM m")
 def e5(t: Tables) -> DataFrame:
     truth, found = box_tables(t)
     s = E.box_scores(boxes.matched(truth, found, "task"), truth)

@@ -152,10 +152,10 @@ def e16(t: Tables) -> DataFrame:
     return d.withColumn("jj", F.col("j") - F.lag("j").over(w)).groupBy("user_id").agg(F.round(F.max("j"), 6).alias("jump"), F.round(F.max("jj"), 6).alias("second"))
 
 
-@query("t4_interpolated_pose", "WITH e AS (SELECT event_id, epoch(ts) AS ts, value, event_type FROM events WHERE event_id <= 600), s AS (SELECT * FROM e WHERE event_type = 'view'), p AS (SELECT * FROM e WHERE event_type = 'signup'), x AS (SELECT s.event_id, s.ts, max(b.ts) AS t0, min(a.ts) AS t1 FROM s JOIN p b ON b.ts <= s.ts JOIN p a ON a.ts >= s.ts GROUP BY 1, 2) SELECT x.event_id, round(b.value + CASE WHEN t1 > t0 THEN (x.ts - t0) / (t1 - t0) ELSE 0 END * (a.value - b.value), 4) AS px FROM x JOIN p b ON b.ts = t0 JOIN p a ON a.ts = t1")
+@query("t4_interpolated_pose", "WITH e AS (SELECT event_id, epoch(ts) AS ts, value, event_type FROM events), s AS (SELECT * FROM e WHERE event_type = 'view'), p AS (SELECT ts, min(value) AS v FROM e WHERE event_type = 'signup' GROUP BY ts), x AS (SELECT s.event_id, s.ts, b.ts AS t0, b.v AS v0 FROM s ASOF JOIN p b ON b.ts <= s.ts), y AS (SELECT x.*, a.ts AS t1, a.v AS v1 FROM x ASOF JOIN p a ON a.ts >= x.ts) SELECT event_id, round(v0 + CASE WHEN t1 > t0 THEN (ts - t0) / (t1 - t0) ELSE 0 END * (v1 - v0), 4) AS px FROM y")
 def t4(t: Tables) -> DataFrame:
     from orrery.streaming.frames import with_interpolated
 
-    e = t.events.where("event_id <= 600").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "value", "event_type")
+    e = t.events.select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), "value", "event_type")
     scans = e.where("event_type = 'view'").select("event_id", "ts")
-    return with_interpolated(scans, e.where("event_type = 'signup'").select("ts", F.col("value").alias("px")), ("px",)).select("event_id", F.round("px", 4).alias("px"))
+    return with_interpolated(scans, e.where("event_type = 'signup'").groupBy("ts").agg(F.min("value").alias("px")), ("px",)).select("event_id", F.round("px", 4).alias("px"))

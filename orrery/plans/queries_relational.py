@@ -201,12 +201,12 @@ def p20(t: Tables) -> DataFrame:
 # --- similarity and equi joins ------------------------------------------------------
 
 
-@query("j8_match_or_insert", f"WITH {VEC}, m AS (SELECT b.vec_id AS mask, max(round(list_cosine_similarity(b.e, k.e), 9)) AS c, arg_max(k.vec_id, (round(list_cosine_similarity(b.e, k.e), 9), -k.vec_id)) AS k FROM vec b, vec k WHERE b.vec_id BETWEEN 100 AND 199 AND k.vec_id < 100 GROUP BY 1) SELECT mask, (CASE WHEN c > 0.3 THEN k ELSE 99 + sum((c <= 0.3)::INT) OVER (ORDER BY mask) END)::BIGINT AS clip_id FROM m")
+@query("j8_match_or_insert", f"WITH {VEC}, m AS (SELECT b.vec_id AS mask, max(round(list_cosine_similarity(b.e, k.e), 9)) AS c, arg_max(k.vec_id, (round(list_cosine_similarity(b.e, k.e), 9), -k.vec_id)) AS k FROM vec b, vec k WHERE b.vec_id % 2 = 1 AND k.vec_id % 2 = 0 GROUP BY 1) SELECT mask, (CASE WHEN c > 0.3 THEN k ELSE (SELECT max(vec_id) FROM vec WHERE vec_id % 2 = 0) + sum((c <= 0.3)::INT) OVER (ORDER BY mask) END)::BIGINT AS clip_id FROM m")
 def j8(t: Tables) -> DataFrame:
     from orrery.streaming.frames import match_or_insert
 
     v = vecs(t)
-    matches, _ = match_or_insert(v.where("vec_id BETWEEN 100 AND 199").select(F.col("vec_id").alias("mask"), "emb"), v.where("vec_id < 100").select(F.col("vec_id").alias("clip_id"), "emb"), 0.3)
+    matches, _ = match_or_insert(v.where("vec_id % 2 = 1").select(F.col("vec_id").alias("mask"), "emb"), v.where("vec_id % 2 = 0").select(F.col("vec_id").alias("clip_id"), "emb"), 0.3)
     return matches.select("mask", F.col("clip_id").cast("long").alias("clip_id"))
 
 
@@ -253,9 +253,9 @@ def j15(t: Tables) -> DataFrame:
     return s.where("c > 0.15").join(zones, ["q", "label"], "left_semi").select("vec_id").distinct()
 
 
-@query("j16_dense_pairs", f"WITH {EDGES} SELECT a.vec_id AS src, b.vec_id AS dst, round(coalesce(e.c * 100, abs(a.label - b.label) + 1.0 * (1 - least(round(list_cosine_similarity(a.e, b.e), 9), 1))), 6) + 0.0 AS weight FROM vec a JOIN vec b ON a.vec_id < b.vec_id AND b.vec_id < 120 LEFT JOIN edges e ON e.src = a.vec_id AND e.dst = b.vec_id")
+@query("j16_dense_pairs", f"WITH {EDGES} SELECT a.vec_id AS src, b.vec_id AS dst, round(coalesce(e.c * 100, abs(a.label - b.label) + 1.0 * (1 - least(round(list_cosine_similarity(a.e, b.e), 9), 1))), 4) + 0.0 AS weight FROM vec a JOIN vec b ON a.vec_id < b.vec_id LEFT JOIN edges e ON e.src = a.vec_id AND e.dst = b.vec_id")
 def j16(t: Tables) -> DataFrame:
-    v = vecs(t).where("vec_id < 120")
+    v = vecs(t)
     a, b = v.alias("a"), v.alias("b")
     c = F.round(cosine(F.col("a.emb"), F.col("b.emb")), 9)
     pairs = a.join(b, F.col("a.vec_id") < F.col("b.vec_id")).select(F.col("a.vec_id").alias("src"), F.col("b.vec_id").alias("dst"), c.alias("c"), F.abs(F.col("a.label") - F.col("b.label")).cast("double").alias("d"))
@@ -322,9 +322,9 @@ def a7(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("gidx")).join(best, "gidx", "left").fillna(-1, ["clip_id"])
 
 
-@query("a8_medoid", f"WITH {CNT}, {VEC}, x AS (SELECT gidx, clip_id, n, e FROM cnt JOIN vec ON clip_id = vec_id WHERE gidx <= 300), s AS (SELECT a.gidx, a.clip_id, round(sum(b.n * list_cosine_similarity(a.e, b.e)), 9) AS s FROM x a JOIN x b ON a.gidx = b.gidx GROUP BY 1, 2) SELECT gidx, arg_max(clip_id, (s, -clip_id)) AS clip_id FROM s GROUP BY gidx")
+@query("a8_medoid", f"WITH {CNT}, {VEC}, x AS (SELECT gidx, clip_id, n, e FROM cnt JOIN vec ON clip_id = vec_id), s AS (SELECT a.gidx, a.clip_id, round(sum(b.n * list_cosine_similarity(a.e, b.e)), 9) AS s FROM x a JOIN x b ON a.gidx = b.gidx GROUP BY 1, 2) SELECT gidx, arg_max(clip_id, (s, -clip_id)) AS clip_id FROM s GROUP BY gidx")
 def a8(t: Tables) -> DataFrame:
-    joined = counts(t).where("gidx <= 300").join(vecs(t), F.col("clip_id") == F.col("vec_id"))
+    joined = counts(t).join(vecs(t), F.col("clip_id") == F.col("vec_id"))
     return A.medoid(joined, "gidx", "clip_id", "emb", F.col("cnt"))
 
 

@@ -96,20 +96,18 @@ def j4(t: Tables) -> DataFrame:
     return spatial.nearest(objects, places(t), "event_id", "id", ["x", "y"]).select("event_id", F.col("id").alias("place"))
 
 
-@query("j17_closest_between_components", f"WITH {PLACES}, p AS (SELECT * FROM pl WHERE id < 200) SELECT c, d, src, dst FROM (SELECT a.label AS c, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS d, least(a.id, b.id) AS src, greatest(a.id, b.id) AS dst, row_number() OVER (PARTITION BY a.label ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), least(a.id, b.id), greatest(a.id, b.id)) AS r FROM p a JOIN p b ON a.label <> b.label) WHERE r = 1")
+@query("j17_closest_between_components", f"WITH {PLACES}, p AS (SELECT * FROM pl) SELECT c, d, src, dst FROM (SELECT a.label AS c, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS d, least(a.id, b.id) AS src, greatest(a.id, b.id) AS dst, row_number() OVER (PARTITION BY a.label ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), least(a.id, b.id), greatest(a.id, b.id)) AS r FROM p a JOIN p b ON a.label <> b.label) WHERE r = 1")
 def j17(t: Tables) -> DataFrame:
-    p = places(t).where("id < 200")
-    a, b = p.alias("l"), p.alias("r")
-    pairs = a.join(b, F.col("l.label") != F.col("r.label")).withColumn("d2", spatial.distance2(["x", "y"]))
-    best = pairs.groupBy(F.col("l.label").alias("c")).agg(F.min(F.struct("d2", F.least("l.id", "r.id").alias("src"), F.greatest("l.id", "r.id").alias("dst"))).alias("m"))
+    p = places(t).select("id", "label", "x", "y")
+    near = spatial.nearest(p, p.withColumnRenamed("id", "other"), "id", "other", ["x", "y"], apart="label").join(p.select("id", "label"), "id")
+    best = near.groupBy(F.col("label").alias("c")).agg(F.min(F.struct("d2", F.least("id", "other").alias("src"), F.greatest("id", "other").alias("dst"))).alias("m"))
     return best.select("c", F.round(F.sqrt("m.d2"), 6).alias("d"), "m.src", "m.dst")
 
 
-@query("j18_cross_class_nearest", f"WITH {PLACES}, q AS (SELECT a.id, b.id AS other, b.label, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM pl a JOIN pl b ON a.label <> b.label AND a.id % 5 = 0) SELECT id, arg_min(other, (d, label, other)) AS other FROM q GROUP BY id HAVING min(d) < 6")
+@query("j18_cross_class_nearest", f"WITH {PLACES}, q AS (SELECT a.id, b.id AS other, b.label, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM pl a JOIN pl b ON a.label <> b.label) SELECT id, arg_min(other, (d, label, other)) AS other FROM q GROUP BY id HAVING min(d) < 6")
 def j18(t: Tables) -> DataFrame:
     p = places(t)
-    a, b = p.where("id % 5 = 0").alias("l"), p.alias("r")
-    pairs = spatial.radius_join(p.where("id % 5 = 0"), p, 6.0, ["x", "y"]).where("l.label <> r.label AND d2 < 36")
+    pairs = spatial.radius_join(p, p, 6.0, ["x", "y"]).where("l.label <> r.label AND d2 < 36")
     best = pairs.groupBy("l.id").agg(F.min(F.struct("d2", "r.label", F.col("r.id").alias("other"))).alias("m"))
     return best.select("id", "m.other")
 
@@ -290,12 +288,12 @@ def r15(t: Tables) -> DataFrame:
 # --- clusters -----------------------------------------------------------------------------
 
 
-DB_POINTS = "p AS (SELECT event_id AS id, round(value, 3) AS x, user_id::DOUBLE AS y FROM events WHERE event_id <= 3000)"
+DB_POINTS = "p AS (SELECT event_id AS id, round(value, 3) AS x, user_id::DOUBLE AS y FROM events)"
 
 
 @query("c2_dbscan", f"WITH RECURSIVE {DB_POINTS}, pr AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1.0), core AS (SELECT a FROM pr GROUP BY a HAVING count(*) >= 4), l AS (SELECT a, b FROM pr WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)), reach(id, root) AS (SELECT a, a FROM core UNION SELECT l.b, reach.root FROM reach JOIN l ON l.a = reach.id), lab AS (SELECT id, min(root) AS c FROM reach GROUP BY id), bd AS (SELECT pr.a, min(lab.c) AS c FROM pr JOIN lab ON pr.b = lab.id GROUP BY 1) SELECT p.id, coalesce(lab.c, bd.c, -1) AS cluster FROM p LEFT JOIN lab ON lab.id = p.id LEFT JOIN bd ON bd.a = p.id")
 def c2(t: Tables) -> DataFrame:
-    p = t.events.where("event_id <= 3000").select(F.col("event_id").alias("id"), F.round("value", 3).alias("x"), F.col("user_id").cast("double").alias("y"))
+    p = t.events.select(F.col("event_id").alias("id"), F.round("value", 3).alias("x"), F.col("user_id").cast("double").alias("y"))
     return cluster.dbscan(p, "id", ["x", "y"], 1.0, 4).fillna(-1, ["cluster"])
 
 
@@ -336,11 +334,11 @@ def c10(t: Tables) -> DataFrame:
 # --- streams, in batch form ------------------------------------------------------------------
 
 
-@query("t6_best_frame", f"WITH {STAMPS}, b AS (SELECT * FROM st WHERE event_id <= 400), lidar AS (SELECT event_id, event_type, user_id, ts FROM b WHERE event_type = 'view'), x AS (SELECT l.event_id, l.ts, min(abs(c.ts - l.ts)) FILTER (c.event_type = 'click') AS g1, min(abs(c.ts - l.ts)) FILTER (c.event_type = 'purchase') AS g2 FROM lidar l, b c GROUP BY 1, 2) SELECT ts, greatest(g1, g2)::BIGINT AS skew FROM x WHERE greatest(g1, g2) <= 900 ORDER BY skew, ts LIMIT 1")
+@query("t6_best_frame", f"WITH {STAMPS}, lidar AS (SELECT DISTINCT ts FROM st WHERE event_type = 'view'), c AS (SELECT DISTINCT ts, event_type FROM st), n AS (SELECT l.ts, k.kind, b.ts AS t0 FROM lidar l CROSS JOIN (VALUES ('click'), ('purchase')) k(kind) ASOF LEFT JOIN c b ON b.event_type = k.kind AND b.ts <= l.ts), m AS (SELECT n.ts, n.kind, least(coalesce(n.ts - t0, 1e18), coalesce(a.ts - n.ts, 1e18)) AS gap FROM n ASOF LEFT JOIN c a ON a.event_type = n.kind AND a.ts >= n.ts), x AS (SELECT ts, max(gap) AS skew FROM m GROUP BY ts) SELECT ts, skew::BIGINT AS skew FROM x WHERE skew <= 900 ORDER BY skew, ts LIMIT 1")
 def t6(t: Tables) -> DataFrame:
     from orrery.streaming.frames import best_of_buffer
 
-    st = stamps(t).where("event_id <= 400")
+    st = stamps(t)
     side = lambda k: st.where(F.col("event_type") == k).select("ts", F.col("ts").alias("stamp"))
     return best_of_buffer(st.where("event_type = 'view'").select("ts").distinct(), {k: side(k) for k in ("click", "purchase")}, 900).select("ts", F.col("skew").cast("long").alias("skew"))
 

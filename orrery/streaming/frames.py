@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState
 
-from orrery.operators.asof import align, best_frame
+from orrery.operators.asof import align, around, best_frame
 
 
 def source(spark: SparkSession, folder: str, schema: str, files_per_tick: int = 1, fmt: str = "parquet") -> DataFrame:
@@ -29,13 +29,9 @@ def with_latest(scans: DataFrame, poses: DataFrame) -> DataFrame:
 
 def with_interpolated(scans: DataFrame, poses: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """T4: each scan with the poses' columns interpolated at its own time; scans outside the poses' span wait (are left out)."""
-    rows = scans.withColumn("_side", F.lit(1)).unionByName(poses.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    mark = F.when(F.col("_side") == 0, F.struct("ts", *columns))
-    before = F.last(mark, ignorenulls=True).over(W.orderBy("ts", "_side").rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(mark, ignorenulls=True).over(W.orderBy("ts", F.desc("_side")).rowsBetween(0, W.unboundedFollowing))
-    both = rows.withColumn("_b", before).withColumn("_a", after).where("_side = 1 AND _a IS NOT NULL AND _b IS NOT NULL")
-    span = F.col("_a.ts") - F.col("_b.ts")
-    part = F.when(span > 0, (F.col("ts") - F.col("_b.ts")) / span).otherwise(0.0)
+    both = around(scans, poses.select("ts", *columns), "ts").where("_a IS NOT NULL AND _b IS NOT NULL")
+    span = F.col("_a.t") - F.col("_b.t")
+    part = F.when(span > 0, (F.col("ts") - F.col("_b.t")) / span).otherwise(0.0)
     return both.select(*scans.columns, *[(F.col(f"_b.{c}") + part * (F.col(f"_a.{c}") - F.col(f"_b.{c}"))).alias(c) for c in columns])
 
 
