@@ -17,7 +17,10 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10,
 }
 
-#: op2 is approximate; the others without SQL are tested against brute force in tests/llm.
+#: op2 is approximate; the others without SQL are tested against brute force in tests/llm.  SQL of op5, op6 and op7 lists all shingles and windows.
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mixing": mixing.OP1_SQL,
+    "op5_near_dedup": near_dedup.OP5_SQL,
+    "op6_substring_dedup": substring_dedup.OP6_SQL,
+    "op7_suffix_dedup": suffix_dedup.OP7_SQL,
 }

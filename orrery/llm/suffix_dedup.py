@@ -254,3 +254,20 @@ def cut(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT doc_id, i, md5(b[i:i + 399]) AS k FROM b, unnest(range(1, octet_length(b) - 398)) r(i)),
+hit AS (SELECT doc_id, i FROM win JOIN (SELECT k FROM win GROUP BY k HAVING count(*) > 1) USING (k)),
+parted AS (SELECT doc_id, i, (coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 1000) > 400)::INT AS new FROM hit),
+grouped AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM parted),
+runs AS (SELECT doc_id, min(i) AS lo, max(i) + 399 AS hi FROM grouped GROUP BY doc_id, g),
+pieces AS (
+  SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) + 1 AS a, lo - 1 AS z FROM runs
+  UNION ALL SELECT doc_id, max(hi) + 1, 2000000000 FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN a <= least(z, octet_length(b)) THEN hex(b[a:z]) ELSE '' END, '' ORDER BY a) AS h FROM pieces JOIN b USING (doc_id) GROUP BY doc_id),
+cut AS (SELECT doc_id, sum(hi - lo + 1) AS n, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(h, hex(b)))) AS kept_sha256
+FROM b LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
