@@ -158,3 +158,18 @@ def jensen_shannon(p: Column, q: Column, wp: Column | float, wq: Column | float)
 def information_term(joint: Column, px: Column, py: Column) -> Column:
     """one term of mutual information in bits."""
     return F.when(joint > 0, joint * F.log2(joint / (px * py))).otherwise(0.0)
+
+
+#: Rotation rows and shift from a recording's own frame to the world's, by layout.
+WORLD_FRAMES = {
+    "sparse": (((0.0, 1.0, 0.0), (-1.0, 0.0, 0.0), (0.0, 0.0, 1.0)), (5.0, -10.0, 8.49)),
+    "dense": (((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)), (5.0, -27.0, 8.49)),
+}
+
+
+def to_world(layout: str, p: Sequence[Column]) -> list[Column]:
+    """p in the world's frame; another layout is an error."""
+    if layout not in WORLD_FRAMES:
+        raise ValueError(f"layout must be one of {sorted(WORLD_FRAMES)}, not {layout!r}")
+    r, t = WORLD_FRAMES[layout]
+    return rigid(r, t, p)

@@ -51,13 +51,13 @@ PATHS = "paths AS (SELECT event_id, event_type, CASE WHEN event_id % 7 = 0 THEN
 
 @query("s1_latest_scan", f"WITH {PATHS} SELECT event_type, arg_max(path, event_id) AS path FROM paths WHERE event_id % 7 <> 0 GROUP BY event_type")
 def s1(t: Tables) -> DataFrame:
-    found = paths(t).withColumn("key", S.numeric_key(F.col("path"))).where(F.col("key") < float("inf"))
+    found = paths(t).withColumn("key", S.number_in_name(F.col("path"))).where(F.col("key") < float("inf"))
     return found.groupBy("event_type").agg(F.max_by("path", "key").alias("path"))
 
 
 @query("s2_numeric_key", f"WITH {PATHS} SELECT event_id, CASE WHEN event_id % 7 = 0 THEN -1.0 ELSE event_id + 0.5 END AS key FROM paths")
 def s2(t: Tables) -> DataFrame:
-    key = S.numeric_key(F.col("path"))
+    key = S.number_in_name(F.col("path"))
     return paths(t).select("event_id", F.when(key == float("inf"), -1.0).otherwise(key).alias("key"))
 
 

@@ -36,4 +36,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
     return register
 
 
-from orrery.plans import queries_composed, queries_more, queries_relational, queries_spatial  # noqa: E402, F401  they register themselves
+from orrery.plans import queries_composed, queries_extra, queries_more, queries_relational, queries_spatial  # noqa: E402, F401  they register themselves

@@ -21,7 +21,7 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
-def numeric_key(path: Column) -> Column:
+def number_in_name(path: Column) -> Column:
     """The first decimal number of the file's stem; names without one come last."""
     return F.coalesce(F.nullif(F.regexp_extract(stem(path), r"(\d+\.\d+)", 1), F.lit("")).cast("double"), F.lit(float("inf")))
 
@@ -78,7 +78,7 @@ def read_arrays(spark: SparkSession, folder: str, columns: Iterable[str], glob:
 
 def latest_cloud(spark: SparkSession, folder: str) -> DataFrame:
     """The points of the newest map file."""
-    newest = listing(spark, folder, "*.npy").agg(F.max_by("path", F.struct(numeric_key(F.col("path")), "path")).alias("path")).first()["path"]
+    newest = listing(spark, folder, "*.npy").agg(F.max_by("path", F.struct(number_in_name(F.col("path")), "path")).alias("path")).first()["path"]
     if newest is None:
         return spark.createDataFrame([], POINTS)
     return read_arrays(spark, newest, ("x", "y", "z", "intensity")).select(F.col("idx").alias("gidx"), "x", "y", "z", "intensity")

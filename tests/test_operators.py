@@ -250,3 +250,71 @@ def test_similar_pairs_in_blocks(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(100, None)], "id long, v array<double>")
     for block in (2048, 13):
         assert {(r["src"], r["dst"]) for r in similar_pairs(df, "id", "v", 0.5, block=block).collect()} == want
+
+
+def plain_territories(nodes: set, edges: set) -> dict:
+    """Ids from 1 in scan order, spread one step at a time along edge cells."""
+    ids = {cell: i for i, cell in enumerate(sorted(nodes), 1)}
+    queue = sorted(nodes)
+    while queue:
+        y, x = queue.pop(0)
+        for to in ((y, x - 1), (y, x + 1), (y - 1, x), (y + 1, x)):
+            if to in edges and to not in ids:
+                ids[to] = ids[y, x]
+                queue.append(to)
+    return ids
+
+
+def test_skeletons_of_grids_as_tables(spark):
+    """Two grids in one table: each line is in the middle between obstacles, and its territories are a plain flood's."""
+    grids = {}
+    for g, blocks in ((1, [(11, 20, 10, 18), (11, 20, 27, 35)]), (2, [(8, 12, 8, 30)])):
+        free = {(y, x) for y in range(2, 29) for x in range(2, 43)}
+        for y0, y1, x0, x1 in blocks:
+            free -= {(y, x) for y in range(y0, y1) for x in range(x0, x1)}
+        grids[g] = free
+    rows = [(g, y, x) for g, free in grids.items() for y, x in free]
+    out = raster.skeleton(spark.createDataFrame(rows, "g long, y long, x long"), "g", 2.0, 8.0).toPandas()
+    assert set(out["g"]) == {1, 2}
+    for g, part in out.groupby("g"):
+        free = grids[g]
+        walls = {(y, x) for y in range(1, 30) for x in range(1, 44)} - free
+        for r in part.itertuples():
+            far = sorted(math.hypot(r.y - a, r.x - b) for a, b in walls)
+            assert (r.y, r.x) in free and r.dist == pytest.approx(far[0])
+        nodes = {(r.y, r.x) for r in part.itertuples() if not r.is_edge}
+        edges = {(r.y, r.x) for r in part.itertuples() if r.is_edge}
+        assert {(r.y, r.x): r.id for r in part.itertuples()} == plain_territories(nodes, edges) and len(nodes) >= 2
+        # the line closes around each block: every ray from a block outwards meets it before the rim
+        cells = nodes | edges
+        for y0, y1, x0, x1 in ([(11, 20, 10, 18), (11, 20, 27, 35)] if g == 1 else [(8, 12, 8, 30)]):
+            y, x = (y0 + y1) // 2, (x0 + x1) // 2
+            for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0)):
+                assert any((y + k * dy, x + k * dx) in cells for k in range(1, 40))
+
+
+def test_boxes_of_a_hand_made_scene(spark):
+    """Two blocks of points that match two tasks, a third block that matches the surface, and a lonely point."""
+    corners = [(sx, sy, sz) for sx in (0.0, 4.0) for sy in (0.0, 2.0) for sz in (0.0, 1.0)]
+    points, counts_ = [], []
+    for i, (dx, dy, clip) in enumerate(((0.0, 0.0, 11), (50.0, 10.0, 12), (100.0, 0.0, 10))):
+        for j, (x, y, z) in enumerate(corners):
+            points.append((100 * i + j, x + dx, y + dy, z))
+            counts_ += [(100 * i + j, clip, 3), (100 * i + j, 10, 1)]
+    points.append((900, 200.0, 200.0, 0.0))
+    counts_.append((900, 11, 1))
+    scene = {
+        "points": spark.createDataFrame(points, "gidx long, x double, y double, z double"),
+        "counts": spark.createDataFrame(counts_, "gidx long, clip_id long, cnt long"),
+        "segments": spark.createDataFrame([(10, [1.0, 0.0, 0.0]), (11, [0.0, 1.0, 0.0]), (12, [0.0, 0.6, 0.8])], "clip_id long, emb array<double>"),
+    }
+    queries = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 0.0, 1.0])], "q_idx long, emb array<double>")
+    params = P.Params(n_surface=1, alpha=0.3, radius=4.5, eps=4.5, min_samples=3)
+    got = {r["object"]: r for r in P.predict_objects(scene, queries, "ms_max", params).collect()}
+    assert set(got) == {0, 100}  # named by the least core point; the surface's block and the lonely point give none
+    for name, task, score, centre in ((0, 0, 1.0, (2.0, 1.0, 0.5)), (100, 1, 0.8, (52.0, 11.0, 0.5))):
+        r = got[name]
+        assert (r["task_idx"], r["n_points"]) == (task, 8) and r["top_score"] == pytest.approx(score)
+        assert (r["cx"], r["cy"], r["cz"]) == pytest.approx(centre) and sorted((r["ex"], r["ey"], r["ez"])) == pytest.approx([1.0, 2.0, 4.0])
+    inside = P.Params(n_surface=1, alpha=0.3, radius=4.5, eps=4.5, min_samples=3, bounds=((0.0, 10.0), (-1e9, 1e9), (-1e9, 1e9)), offset=5)
+    assert [(r["object"], r["task_idx"]) for r in P.predict_objects(scene, queries, "ms_max", inside).collect()] == [(0, 5)]

@@ -19,7 +19,7 @@ def test_newest_cloud(spark, tmp_path):
 
 def test_names(spark):
     df = spark.createDataFrame([("a/x_1.50.npy",), ("a/none.npy",)], "path string")
-    assert [r[0] for r in df.select(S.numeric_key(F.col("path"))).collect()] == [1.5, float("inf")]
+    assert [r[0] for r in df.select(S.number_in_name(F.col("path"))).collect()] == [1.5, float("inf")]
     cam, ts = S.camera_and_stamp(F.lit("d/cam2_img_3.25.jpg"))
     assert tuple(spark.range(1).select(cam, ts).first()) == (1, 3.25)
     cam, ts = S.camera_and_stamp(F.lit("other"))
