@@ -8,7 +8,8 @@ gives just the words still wanted, so the words taken meet the target to one wor
 
 A source may hold any share of all rows: sorting and summing are dealt out by
 (source, key bucket), with the buckets' totals summed first, so no task gets a
-whole source.  u comes from md5 of the seed and doc_id, so reruns agree.
+whole source.  Buckets are steps of the key's logarithm, so they hold small shares
+(about 1 in 1000 at most) whatever the quality of a source is.  u comes from md5 of the seed and doc_id, so reruns agree.
 
 Null or blank text has size 0 and gives nothing; null source is a source of its
 own, last in order; rows that repeat a doc_id are rows like any other; an empty
@@ -24,7 +25,8 @@ from orrery.llm.common import columns_of, staged, table
 WEIGHTS = (5, 2, 1)
 CAP = 3.0
 SEED = 17
-BUCKETS = 512
+#: Key buckets from a key to its double.
+BUCKETS = 256
 WORD = r"[^\x20\x09-\x0D]+"
 #: Signs that prose has few of; their share of a text lowers its quality.
 SIGNS = r"[|%&$#*{}<>\\0-9]"
@@ -67,8 +69,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         (-F.log(uniform(seed)) / quality()).alias("key"),
     )
-    # a monotone map of the key to [0, 1), so that buckets keep its order
-    sized = staged(sized.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * (1.0 - F.exp(-F.col("key"))))).cast("int")))
+    # a monotone map of the key, so that buckets keep its order; a key of 0 comes first
+    sized = staged(sized.withColumn("bucket", F.when(F.col("key") > 0, F.floor(BUCKETS * F.log2("key"))).otherwise(-1 << 20).cast("int")))
     buckets = sized.groupBy("skey", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sources = buckets.groupBy("skey", "source").agg(F.sum("bucket_size").alias("source_size"))
     before = W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -106,3 +106,51 @@ def edit_distance_within(item: list[str], words: list[str]) -> int:
         for j, y in enumerate(words, 1):
             row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
     return min(row)
+
+
+VALUE = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
+
+
+def secret_spans(text: str) -> list[tuple[int, int, str]]:
+    """The base kinds of secrets, character by character."""
+    low = "".join(c.lower() if c < "\x80" else c for c in text)
+    out, at = [], 0
+    while at < len(text):
+        word = next((k for k in KEYWORDS if low.startswith(k, at)), None)
+        end = None
+        if word:
+            i = at + len(word)
+            i += text[i : i + 1] in ("'", '"') and i < len(text)
+            while text[i : i + 1] == " ":
+                i += 1
+            if text[i : i + 1] in (":", "=") and i < len(text):
+                i += 1
+                while text[i : i + 1] == " ":
+                    i += 1
+                i += text[i : i + 1] in ("'", '"') and i < len(text)
+                start = i
+                while i < len(text) and text[i] in VALUE:
+                    i += 1
+                if i > start:
+                    end = i
+                    if i - start >= 8:
+                        out.append((at, i, "assign"))
+        at = end or at + 1
+    at = 0
+    while (at := text.find("AKIA", at)) >= 0:
+        i = at + 4
+        while i < len(text) and (text[i] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" or text[i] in "0123456789"):
+            i += 1
+        if i - at >= 16:
+            out.append((at, i, "access"))
+        at = i
+    start = None
+    for i, c in enumerate(text + " "):
+        if c in "0123456789abcdef":
+            start = i if start is None else start
+        else:
+            if start is not None and i - start >= 32:
+                out.append((start, i, "hex"))
+            start = None
+    return out
