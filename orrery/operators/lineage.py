@@ -13,9 +13,11 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a local one is made only where that is unset, and removed at exit."""
+    """A new folder name below ``spark.checkpoint.dir``; only a local session without that setting gets a folder of its own, removed at exit."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="orrery-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
