@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from orrery.functions.vectors import cosine, dot, normalised
+from orrery.functions.vectors import cosine, normalised
 
 
 def width_of(df: DataFrame, vector: str) -> int:
@@ -42,10 +43,32 @@ def medoid(df: DataFrame, key: str, item: str, vector: str, weight: Column | flo
     w_j x_j / |x_j|, so one mean and one join replace the self join.
     """
     w = weight if isinstance(weight, Column) else F.lit(float(weight))
-    unit = df.withColumn("_u", normalised(F.col(vector))).withColumn("_wt", w)
-    total = weighted_mean(unit.where("_u IS NOT NULL"), key, "_u", F.col("_wt"), unit=False).withColumnRenamed("emb", "_total")
-    score = F.round(dot(F.col("_u"), F.col("_total")), 12)
-    best = unit.join(total, key).groupBy(key).agg(F.max(F.struct(score.alias("s"), (-F.col(item)).alias("neg"))).alias("_b"))
+    kinds = dict(df.dtypes)
+    names = f"`{key}` {kinds[key]}, `{item}` {kinds[item]}"
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def unit_vectors(batches):
+        """Vectors of length 1, by Arrow batch: as expressions over arrays they cost more than the sums themselves."""
+        for batch in batches:
+            if batch.num_rows:
+                v = matrix(batch.column("_v"))
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                u = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(item), u, batch.column("_wt")], names=[key, item, "_u", "_wt"])
+
+    def products(batches):
+        for batch in batches:
+            if batch.num_rows:
+                s = np.einsum("ij,ij->i", matrix(batch.column("_u")), matrix(batch.column("_total")))
+                yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(item), pa.array(s)], names=[key, item, "s"])
+
+    rows = df.where(F.col(vector).isNotNull()).select(key, item, F.col(vector).cast("array<double>").alias("_v"), w.cast("double").alias("_wt"))
+    unit = rows.mapInArrow(unit_vectors, f"{names}, _u array<double>, _wt double")
+    total = weighted_mean(unit, key, "_u", F.col("_wt"), unit=False).withColumnRenamed("emb", "_total")
+    scored = unit.join(total, key).select(key, item, "_u", "_total").mapInArrow(products, f"{names}, s double")
+    best = scored.groupBy(key).agg(F.max(F.struct(F.round("s", 12).alias("s"), (-F.col(item)).alias("neg"))).alias("_b"))
     return best.select(key, (-F.col("_b.neg")).alias(item))
 
 

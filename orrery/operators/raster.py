@@ -255,6 +255,18 @@ def distances(free: DataFrame, key: str) -> DataFrame:
     return free.select(key, "y", "x").groupBy(key).applyInPandas(solve, f"{key} {kind}, y long, x long, dist double")
 
 
+def middle_lines(free: DataFrame, key: str) -> DataFrame:
+    """(key, y, x) of the cells between obstacles that do not touch, before thinning."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid, y0, x0 = _grid(pdf)
+        ys, xs = np.nonzero(voronoi(*distance_map(grid)))
+        return pd.DataFrame({key: pdf[key].iloc[0], "y": ys + y0, "x": xs + x0})
+
+    kind = dict(free.dtypes)[key]
+    return free.select(key, "y", "x").groupBy(key).applyInPandas(solve, f"{key} {kind}, y long, x long")
+
+
 def skeleton(free: DataFrame, key: str, max_dev: float = 3.0, max_dist: float = 12.0, rounds: int = 10) -> DataFrame:
     """(key, y, x, id, is_edge, dist): the cells of each grid's line with the territory each belongs to."""
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from orrery.functions import geometry as G, providers
 from orrery.functions.vectors import cosine, euclid
-from orrery.operators import aggregates as A, boxes, cluster, evaluate as E, graph, spatial
+from orrery.operators import aggregates as A, boxes, cluster, evaluate as E, graph, raster, spatial
 from orrery.operators.lineage import shared_dir, staged
-from orrery.plans.queries_composed import GREEDY, box_tables
+from orrery.plans.queries_composed import GREEDY, OVERLAP, box_tables
 from orrery.plans.queries_relational import CNT, EDGES, PTS, REGION, SCORED, VEC, counts, points, r6, scored, similar_edges, vecs
 from orrery.plans.queries_spatial import CLOUD, PLACES, STAMPS, places, scan_and_cloud, stamps
 from orrery.plans.registry import Tables, query
@@ -257,9 +257,39 @@ def m1(t: Tables) -> DataFrame:
     return providers.looked_up(t.supplier.select("s_suppkey", (F.col("s_suppkey") * 11).alias("input")), known, "input").select("s_suppkey", r6(F.col("emb")[0]).alias("first_dim"))
 
 
+#: Cells that few events fall in are obstacles; of each cell of the grid the nearest obstacle, the lower one of equals.
+NEAREST = "free AS (SELECT (event_id % 2)::BIGINT AS g, floor(user_id / 6)::BIGINT AS y, floor(value / 6)::BIGINT AS x FROM events WHERE (floor(user_id / 6) * 7 + floor(value / 6) * 3) % 11 <> 0 GROUP BY ALL), bd AS (SELECT g, min(y) - 1 AS y0, max(y) + 1 AS y1, min(x) - 1 AS x0, max(x) + 1 AS x1 FROM free GROUP BY g), gy AS (SELECT g, unnest(range(y0, y1 + 1)) AS y, x0, x1 FROM bd), gr AS (SELECT g, y, unnest(range(x0, x1 + 1)) AS x FROM gy), ob AS (SELECT gr.* FROM gr ANTI JOIN free USING (g, y, x)), nr AS (SELECT gr.g, gr.y, gr.x, min((gr.y - ob.y) ** 2 + (gr.x - ob.x) ** 2) AS d2, arg_min({'y': ob.y, 'x': ob.x}, ((gr.y - ob.y) ** 2 + (gr.x - ob.x) ** 2, ob.y, ob.x)) AS o FROM gr JOIN ob USING (g) GROUP BY 1, 2, 3)"
+
+
+@query("r4_middle_lines", f"WITH {NEAREST}, st AS (SELECT * FROM (VALUES (0, 1), (1, 0), (1, 1), (1, -1)) v(dy, dx)), pr AS (SELECT a.g, a.y AS ay, a.x AS ax, b.y AS byy, b.x AS bx, (a.y - b.o.y) ** 2 + (a.x - b.o.x) ** 2 AS ca, (b.y - a.o.y) ** 2 + (b.x - a.o.x) ** 2 AS cb FROM nr a, st, nr b WHERE b.g = a.g AND b.y = a.y + dy AND b.x = a.x + dx AND (a.d2 > 1 OR b.d2 > 1) AND (abs(a.o.y - b.o.y) > 1 OR abs(a.o.x - b.o.x) > 1)) SELECT g, ay AS y, ax AS x FROM pr WHERE ca <= cb UNION SELECT g, byy, bx FROM pr WHERE cb <= ca")
+def r4(t: Tables) -> DataFrame:
+    y, x = F.floor(F.col("user_id") / 6), F.floor(F.col("value") / 6)
+    free = t.events.where((y * 7 + x * 3) % 11 != 0).select((F.col("event_id") % 2).alias("g"), y.cast("long").alias("y"), x.cast("long").alias("x")).distinct()
+    return raster.middle_lines(free, "g")
+
+
 # --- evaluations -----------------------------------------------------------------------
 
 
+@query("e10_sampled_overlap", f"WITH {OVERLAP} SELECT task, gt, pred, TRUE AS near FROM ov WHERE i > 1e-3")
+def e10(t: Tables) -> DataFrame:
+    """The sampled overlap of every two boxes of a task that meet lies near the exact one."""
+    import pandas as pd
+
+    truth, found = box_tables(t)
+
+    def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for g in left.itertuples():
+            for p in right[((right["cx"] - g.cx).abs() < 10) & ((right["cy"] - g.cy).abs() < 10)].itertuples():
+                a, b = boxes.as_box(g), boxes.as_box(p)
+                if (exact := boxes.iou(a, b)) > 0:
+                    rows.append((g.task, g.id, p.id, abs(boxes.sampled_iou(a, b) - exact) < 0.03))
+        return pd.DataFrame(rows, columns=["task", "gt", "pred", "near"])
+
+    return truth.groupBy("task").cogroup(found.groupBy("task")).applyInPandas(solve, "task int, gt long, pred long, near boolean")
+
+
 @query("e2_micro_totals", f"WITH {SCORED} SELECT count(*) FILTER (c > 0.2 AND label = q) AS tp, count(*) FILTER (c > 0.2 AND label <> q) AS fp, count(*) FILTER (c <= 0.2 AND label = q) AS fn FROM s")
 def e2(t: Tables) -> DataFrame:
     s = scored(t, F.col("vec_id") < 8)

@@ -253,14 +253,14 @@ def j15(t: Tables) -> DataFrame:
     return s.where("c > 0.15").join(zones, ["q", "label"], "left_semi").select("vec_id").distinct()
 
 
-@query("j16_dense_pairs", f"WITH {EDGES} SELECT a.vec_id AS src, b.vec_id AS dst, round(coalesce(e.c * 100, abs(a.label - b.label) + 1.0 * (1 - least(round(list_cosine_similarity(a.e, b.e), 9), 1))), 4) + 0.0 AS weight FROM vec a JOIN vec b ON a.vec_id < b.vec_id LEFT JOIN edges e ON e.src = a.vec_id AND e.dst = b.vec_id")
+@query("j16_dense_pairs", f"WITH {EDGES} SELECT a.vec_id AS src, b.vec_id AS dst, round(coalesce(e.c * 100, abs(a.label - b.label) + 1.0 * (1 - least(round(list_cosine_similarity(a.e, b.e), 9), 1))), 9) + 0.0 AS weight FROM vec a JOIN vec b ON a.vec_id < b.vec_id LEFT JOIN edges e ON e.src = a.vec_id AND e.dst = b.vec_id")
 def j16(t: Tables) -> DataFrame:
     v = vecs(t)
     a, b = v.alias("a"), v.alias("b")
     c = F.round(cosine(F.col("a.emb"), F.col("b.emb")), 9)
     pairs = a.join(b, F.col("a.vec_id") < F.col("b.vec_id")).select(F.col("a.vec_id").alias("src"), F.col("b.vec_id").alias("dst"), c.alias("c"), F.abs(F.col("a.label") - F.col("b.label")).cast("double").alias("d"))
     known = pairs.where("c > 0.3").select("src", "dst", (F.col("c") * 100).alias("w"))
-    return pairs.join(known, ["src", "dst"], "left").select("src", "dst", r6(F.coalesce("w", edge_weight(F.col("d"), F.col("c")))).alias("weight"))
+    return pairs.join(known, ["src", "dst"], "left").select("src", "dst", (F.round(F.coalesce("w", edge_weight(F.col("d"), F.col("c"))), 9) + F.lit(0.0)).alias("weight"))
 
 
 @query("j25_adjacency", "SELECT n_nationkey::INT AS id, count(*) AS n_below FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
