@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.llm import decontaminate, line_dedup, mixing, near_dedup, nearest, pii, quality, secrets, substring_dedup, suffix_dedup
+from orrery.llm import cross_tokens, decontaminate, fill_middle, language, line_dedup, mixing, near_dedup, nearest, pii, quality, secrets, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8,
     "op9_pii": pii.op9,
     "op10_line_dedup": line_dedup.op10,
+    "op11_language_id": language.op11,
+    "op12_fill_in_middle": fill_middle.op12,
+    "op13_cross_tokenizer_alignment": cross_tokens.op13,
 }
 
 #: op2 is approximate; the others without SQL are tested against brute force in tests/llm.  SQL of op5, op6 and op7 lists all shingles and windows.
@@ -23,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_near_dedup": near_dedup.OP5_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_suffix_dedup": suffix_dedup.OP7_SQL,
+    "op12_fill_in_middle": fill_middle.OP12_SQL,
 }
