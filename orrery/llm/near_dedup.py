@@ -14,7 +14,11 @@ shingles counts the exact intersections.
 
 Null, empty and blank texts have the empty set, n_shingles 0, and are their own
 component.  Rows without doc_id take no part: component null, kept true.  Rows
-that repeat a doc_id are one node of the graph, each with its own text's set.  An empty table gives no rows.
+that repeat a doc_id are one node of the graph, each with its own text's set, so
+what they link to is one component.  ``representatives`` goes by texts instead: of the
+rows whose texts link, directly or over other texts, those of the least doc_id stay,
+so that a doc_id with two unlike texts never takes the copies of either away from
+the corpus.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from orrery.llm.common import binary_column, columns_of, mix, partitions, slices, span_hashes, staged, table, text_bytes, window_hashes, word_spans, range_hash, prefix_hash, _TOKENS
+from orrery.llm.common import binary_column, keyed, mix, partitions, slices, span_hashes, staged, table, text_bytes, window_hashes, word_spans, range_hash, prefix_hash, _TOKENS
 from orrery.operators.graph import components
 
 WORDS = 5
@@ -68,7 +72,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def describe(batches):
-    """(doc_id, n_shingles, h1, h2, sig): size, two sums that name the set, signature."""
+    """(doc_id, text_key, n_shingles, h1, h2, sig): size, two sums that name the set, signature."""
     for whole in batches:
         for batch in slices(whole):
             sets = shingle_sets(*text_bytes(batch.column("text")))
@@ -76,9 +80,9 @@ def describe(batches):
             h1 = np.array([int(s.sum(dtype=np.uint64)) for s in sets], dtype=np.uint64)
             h2 = np.array([int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) for s in sets], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
                 binary_column(sig.ravel(), np.arange(len(sets) + 1) * SYMBOLS),
-            ], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
+            ], names=["doc_id", "text_key", "n_shingles", "h1", "h2", "sig"])
 
 
 def keys_of(batches):
@@ -162,6 +166,7 @@ def verified(batches):
         return [(ids[i], ids[j]) for i, j in found if ids[i] != ids[j]]
 
     group: list[tuple] = []
+    seen: set[int] = set()
     for whole in batches:
         out = []
         for batch in slices(whole):
@@ -170,37 +175,52 @@ def verified(batches):
             for key, block, doc, members in zip(keys, batch.column("block").to_pylist(), batch.column("id").to_pylist(), sets):
                 if group and group[0][0] != key:
                     out += solve(group)
-                    group = []
-                group.append((key, block, doc, members))
+                    group, seen = [], set()
+                if doc not in seen:  # equal rows bring a text more than once
+                    group.append((key, block, doc, members))
+                    seen.add(doc)
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["src", "dst"])
     if group:
         out = solve(group)
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["src", "dst"])
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    docs = columns_of(docs, "doc_id", "text")
-    all_rows = staged(docs.mapInArrow(describe, "doc_id long, n_shingles long, h1 long, h2 long, sig binary"))
-    classes = staged(
-        all_rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("id"))
-    )
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n_shingles, text_group, first) for every row: the group of its text over links between texts, null without words, and the least doc_id there."""
+    n = partitions(docs.sparkSession)
+    docs = keyed(docs)
+    all_rows = staged(docs.mapInArrow(describe, "doc_id long, text_key long, n_shingles long, h1 long, h2 long, sig binary"))
+    least = F.struct("doc_id", "text_key")
+    classes = all_rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min_by("sig", least).alias("sig"), F.min(least).alias("least"))
+    classes = staged(classes.select(F.xxhash64("n_shingles", "h1", "h2").alias("id"), "n_shingles", "h1", "h2", "sig", "least.doc_id", "least.text_key"))
     keys = classes.select("id", "sig").mapInArrow(keys_of, "key long, id long")
     stars = staged(keys.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(shared_keys, "src long, dst long").distinct())
-    cluster = staged(components(stars).toDF("id", "cluster").join(classes.select("id", "n_shingles").distinct(), "id"))
+    cluster = staged(components(stars).toDF("id", "cluster").join(classes.select("id", "n_shingles", "doc_id", "text_key"), "id"))
     blocks = cluster.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     placed = cluster.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("id"), "text")
-    met = placed.select("id", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).hint("merge").join(texts, "id")
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    met = placed.select("id", "doc_id", "text_key", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).hint("merge").join(texts, ["doc_id", "text_key"])
     met = met.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "text")
     edges = staged(met.repartition(n, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(verified, "src long, dst long"))
-    joined = components(edges)
-    found = classes.join(joined, "id", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "id").alias("component"))
+    placed = classes.join(components(edges), "id", "left").select("n_shingles", "h1", "h2", "doc_id", F.coalesce("component", "id").alias("text_group"))
+    firsts = placed.groupBy("text_group").agg(F.min("doc_id").alias("first"))
+    found = placed.drop("doc_id").join(firsts, "text_group")
+    of_row = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     out = all_rows.drop("sig").join(found, ["n_shingles", "h1", "h2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", F.when(of_row, F.col("text_group")).alias("text_group"), F.when(of_row, F.col("first")).alias("first"))
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs."""
+    rows = staged(grouped(docs))
+    # groups of texts that one doc_id joins
+    ends = rows.groupBy("doc_id").agg(F.min("text_group").alias("src"), F.max("text_group").alias("dst")).where("src <> dst")
+    joined = components(rows.join(ends.select("doc_id", "src"), "doc_id").select("src", F.col("text_group").alias("dst"))).toDF("text_group", "joined")
+    firsts = rows.where("text_group IS NOT NULL").groupBy("text_group").agg(F.first("first").alias("first")).join(joined, "text_group")
+    firsts = firsts.join(firsts.groupBy("joined").agg(F.min("first").alias("component")), "joined").select("text_group", "component")
+    of_doc = rows.where("doc_id IS NOT NULL").join(firsts, "text_group", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "first", "doc_id")).alias("component_id"))
+    out = rows.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,12 +228,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those that have a smaller doc_id in their component, unchanged.
-
-    Rows that share a doc_id go together, by the text that is a copy of an earlier one.
-    """
-    gone = linked(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs without those whose text links to a text of a smaller doc_id, unchanged."""
+    gone = grouped(docs).where("doc_id <> first").select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_key")), "left_anti").select(*docs.columns)
 
 
 OP5_SQL = r"""

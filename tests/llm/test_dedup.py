@@ -65,6 +65,18 @@ def test_near_duplicates_in_blocks(spark, docs, monkeypatch):
     assert got == brute.near_components(docs)
 
 
+def test_a_doc_id_with_unlike_texts(spark):
+    """What a doc_id's rows link to is one component; no text leaves the corpus with it."""
+    a, b, c = ("".join(f"{x}{i} " for i in range(60)) for x in "abc")
+    near = a.replace("a7 ", "other ")
+    rows = [(1, a), (5, a), (5, b), (7, b), (9, b + "more"), (5, c), (8, c), (5, ""), (6, ""), (11, near), (12, "apart " + c[:90]), (None, a)]
+    got = sorted((str(r["doc_id"]), r["n_shingles"] > 0, r["component_id"]) for r in near_dedup.linked(frame(spark, rows)).collect())
+    of = {1: 1, 5: 1, 7: 1, 9: 1, 8: 1, 6: 6, 11: 1, 12: 12, None: None}
+    assert got == sorted((str(d), bool(t.strip()), of[d]) for d, t in rows if d is not None) + [("None", True, None)]
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in near_dedup.representatives(frame(spark, rows)).collect())
+    assert kept == sorted((str(d), t) for d, t in [(1, a), (5, b), (5, c), (5, ""), (6, ""), (12, "apart " + c[:90]), (None, a)])
+
+
 def test_pairs_within_the_radius_share_a_key():
     import pyarrow as pa
 
