@@ -8,7 +8,7 @@ from orrery.operators import boxes, evaluate as E
 from orrery.plans import scene as P
 from orrery.plans.queries_relational import CNT, MEANS, REGION, VEC, counts, points, similar_edges, vecs
 from orrery.plans.queries_spatial import PLACES, places
-from orrery.plans.registry import Tables, query
+from orrery.plans.tables import Tables, query
 
 N_SURFACE = 3
 

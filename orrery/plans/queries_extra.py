@@ -11,7 +11,7 @@ from orrery.operators.lineage import shared_dir, staged
 from orrery.plans.queries_composed import GREEDY, OVERLAP, box_tables
 from orrery.plans.queries_relational import CNT, EDGES, PTS, REGION, SCORED, VEC, counts, points, r6, scored, similar_edges, vecs
 from orrery.plans.queries_spatial import CLOUD, PLACES, STAMPS, places, scan_and_cloud, stamps
-from orrery.plans.registry import Tables, query
+from orrery.plans.tables import Tables, query
 from orrery.sources import scene_files as S
 from orrery.streaming import frames as T
 

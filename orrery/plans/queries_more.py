@@ -8,7 +8,7 @@ from orrery.functions import geometry as G, providers
 from orrery.operators import evaluate as E
 from orrery.plans.queries_relational import CNT, PTS, SCORED, VEC, counts, points, r6, scored, vecs
 from orrery.plans.queries_spatial import tree
-from orrery.plans.registry import Tables, query
+from orrery.plans.tables import Tables, query
 
 MASKS = "m AS (SELECT user_id % 7 AS frame, event_type AS mask, floor(value)::BIGINT AS y, hour(ts)::BIGINT AS x FROM events GROUP BY ALL)"
 

@@ -14,7 +14,7 @@ from orrery.functions.vectors import cosine, edge_weight, norm
 from orrery.operators import aggregates as A, evaluate as E
 from orrery.operators.graph import degrees, subgraph, undirected
 from orrery.operators.similarity import similar_pairs
-from orrery.plans.registry import Tables, query
+from orrery.plans.tables import Tables, query
 from orrery.sources import scene_files as S
 
 r6 = lambda c: F.round(c, 6) + F.lit(0.0)  # noqa: E731  no -0.0

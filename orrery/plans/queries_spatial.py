@@ -8,7 +8,7 @@ from orrery.functions import geometry as G
 from orrery.functions.vectors import cosine
 from orrery.operators import asof, cluster, graph, raster, spatial
 from orrery.plans.queries_relational import EDGES, PTS, VEC, points, r6, similar_edges, vecs
-from orrery.plans.registry import Tables, query
+from orrery.plans.tables import Tables, query
 
 STAMPS = "st AS (SELECT event_id, event_type, user_id, floor(epoch(ts))::BIGINT AS ts FROM events)"
 

@@ -2,38 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from orrery.plans import queries_composed, queries_extra, queries_more, queries_relational, queries_spatial, queries_streams  # noqa: F401  they register themselves
+from orrery.plans.tables import ORACLE_SQL, QUERIES, Tables, query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-class Tables:
-    """The tables of one folder, read when asked for."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        if name.startswith("_"):
-            raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
-    """Register ``build(tables)`` under ``name``; without SQL the query is held against tests only."""
-
-    def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return build
-
-    return register
-
-
-from orrery.plans import queries_composed, queries_extra, queries_more, queries_relational, queries_spatial  # noqa: E402, F401  they register themselves
+__all__ = ["ORACLE_SQL", "QUERIES", "Tables", "query"]
