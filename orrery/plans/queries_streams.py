@@ -1,4 +1,4 @@
-"""Streams with state over the stand-in tables, with their SQL."""
+"""Recordings in files and streams with state over the stand-in tables, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from orrery.operators.lineage import shared_dir
 from orrery.plans.tables import Tables, query
+from orrery.sources import recordings
 from orrery.streaming import frames, ticks
 
 #: Six hours a tick, ten minutes of skew; the end of time, after every row.
@@ -83,3 +84,44 @@ def t9(t: Tables) -> DataFrame:
     table = ticks.LatestTable(t.spark, f"{root}/map")
     ticks.latest_map(frames.source(t.spark, f"{root}/in", "event_id long, value double, stamp double"), table, f"{root}/state").awaitTermination()
     return table.read().select("event_id", "value")
+
+
+# --- recordings ------------------------------------------------------------------------
+
+
+@query("k5_clouds_as_files", "SELECT epoch(date_trunc('day', ts))::DOUBLE AS stamp, row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY event_id) - 1 AS idx, event_id::DOUBLE AS id, value AS x FROM events WHERE date_trunc('day', ts) >= TIMESTAMP '2024-01-11' AND date_trunc('day', ts) < TIMESTAMP '2024-01-21'")
+def k5(t: Tables) -> DataFrame:
+    """Each day's events as one array file, written, then read for ten days; the other files stay closed."""
+    root = shared_dir(t.spark)
+    day = F.unix_timestamp(F.date_trunc("day", F.col("ts").cast("timestamp"))).cast("double")
+    clouds = recordings.clouds_as_files(t.events.select(day.alias("day"), "event_id", F.col("value").alias("x")), "day", ("event_id", "x"), "lidar_pc", "event_id")
+    recordings.write_frames(clouds, f"{root}/clouds")
+    lo, hi = (F.unix_timestamp(F.lit(d), "yyyy-MM-dd").cast("double") for d in ("2024-01-11", "2024-01-21"))
+    return recordings.read_files(t.spark, f"{root}/clouds", names=("id", "x")).where((F.col("stamp") >= lo) & (F.col("stamp") < hi)).select("stamp", "idx", "id", "x")
+
+
+@query("s5_transforms", "SELECT s_suppkey::DOUBLE AS stamp, s_acctbal AS tx, s_nationkey::DOUBLE AS tz, 1.0::DOUBLE AS qw FROM supplier")
+def s5(t: Tables) -> DataFrame:
+    """Suppliers as transforms of seven numbers, a file each, read back with a choice of columns."""
+    root = shared_dir(t.spark)
+    numbers = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("s_acctbal", "zero", "s_nationkey", "zero", "zero", "zero", "one")])
+    rows = t.supplier.withColumns({"zero": F.lit(0), "one": F.lit(1)})
+    recordings.write_frames(rows.select(F.concat(F.lit("tf_"), "s_suppkey", F.lit(".txt")).alias("name"), numbers.cast("binary").alias("content")), f"{root}/tf")
+    return recordings.read_files(t.spark, f"{root}/tf", "transform", columns=("tx", "tz", "qw")).select("stamp", "tx", "tz", "qw")
+
+
+@query("s18_topics", "SELECT event_type AS topic, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1)::BIGINT AS seq, event_id::DOUBLE AS ts, user_id::VARCHAR AS payload FROM events")
+def s18(t: Tables) -> DataFrame:
+    """The events of each type as a recorded topic, streamed 700 messages of a topic a tick, through a stop and a start."""
+    root = shared_dir(t.spark)
+    rows = t.events.select(F.concat(F.lit("of-"), "event_type").alias("topic"), F.col("event_id").cast("double").alias("ts"), F.col("user_id").cast("string").cast("binary").alias("payload"))
+    rows.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.partitionBy("topic").parquet(f"{root}/bag")
+    stream = recordings.read_topics(t.spark, f"{root}/bag", per_tick=700)
+    collected(stream, root)  # one tick, then a stop; the next start goes on from there
+    again = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(processingTime="0 seconds").start()
+    try:
+        again.processAllAvailable()
+    finally:
+        again.stop()
+    found = t.spark.read.parquet(f"{root}/out")
+    return found.select(F.element_at(F.split("topic", "-"), -1).alias("topic"), "seq", "ts", F.col("payload").cast("string").alias("payload"))
