@@ -1,8 +1,8 @@
 """Grids: occupancy, opening, distance map, skeleton and its graph.
 
-Cells are rows (grid key, y, x).  What looks only at neighbours is relational;
-the skeleton works on one whole grid at a time in ``applyInPandas``, grids in
-parallel.
+Cells are rows (grid key, y, x).  What looks only at neighbours is relational, and
+distance maps and territories of any size are in ``cells``; the skeleton works on one
+whole grid at a time in ``applyInPandas``, grids in parallel.
 """
 
 from __future__ import annotations
@@ -243,30 +243,6 @@ def _grid(pdf: pd.DataFrame) -> tuple[np.ndarray, int, int]:
     return grid, y0 - 1, x0 - 1
 
 
-def distances(free: DataFrame, key: str) -> DataFrame:
-    """(key, y, x, dist) of the free cells; what is not free is obstacle, a rim around the grid included."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid, y0, x0 = _grid(pdf)
-        dist, _ = distance_map(grid)
-        return pdf.assign(dist=dist[pdf["y"] - y0, pdf["x"] - x0])
-
-    kind = dict(free.dtypes)[key]
-    return free.select(key, "y", "x").groupBy(key).applyInPandas(solve, f"{key} {kind}, y long, x long, dist double")
-
-
-def middle_lines(free: DataFrame, key: str) -> DataFrame:
-    """(key, y, x) of the cells between obstacles that do not touch, before thinning."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid, y0, x0 = _grid(pdf)
-        ys, xs = np.nonzero(voronoi(*distance_map(grid)))
-        return pd.DataFrame({key: pdf[key].iloc[0], "y": ys + y0, "x": xs + x0})
-
-    kind = dict(free.dtypes)[key]
-    return free.select(key, "y", "x").groupBy(key).applyInPandas(solve, f"{key} {kind}, y long, x long")
-
-
 def skeleton(free: DataFrame, key: str, max_dev: float = 3.0, max_dist: float = 12.0, rounds: int = 10) -> DataFrame:
     """(key, y, x, id, is_edge, dist): the cells of each grid's line with the territory each belongs to."""
 
@@ -279,15 +255,3 @@ def skeleton(free: DataFrame, key: str, max_dev: float = 3.0, max_dist: float =
     kind = dict(free.dtypes)[key]
     return free.select(key, "y", "x").groupBy(key).applyInPandas(solve, f"{key} {kind}, y long, x long, id long, is_edge boolean, dist double")
 
-
-def changed(grid: np.ndarray, cells: list[tuple[int, int, int]]) -> np.ndarray:
-    """The grid after (y, x, state) changes; its distance map follows by ``distance_map``."""
-    out = grid.copy()
-    for y, x, state in cells:
-        out[y, x] = state
-    return out
-
-
-def combined(grid: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Cells that are obstacles only where both grids have them."""
-    return np.minimum(grid, other)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from orrery.functions import geometry as G, providers
 from orrery.functions.vectors import cosine, euclid
-from orrery.operators import aggregates as A, boxes, cluster, evaluate as E, graph, raster, spatial
+from orrery.operators import aggregates as A, boxes, cells, cluster, evaluate as E, graph, raster, spatial
 from orrery.operators.lineage import shared_dir, staged
 from orrery.plans.queries_composed import GREEDY, OVERLAP, box_tables
 from orrery.plans.queries_relational import CNT, EDGES, PTS, REGION, SCORED, VEC, counts, points, r6, scored, similar_edges, vecs
@@ -265,7 +265,7 @@ NEAREST = "free AS (SELECT (event_id % 2)::BIGINT AS g, floor(user_id / 6)::BIGI
 def r4(t: Tables) -> DataFrame:
     y, x = F.floor(F.col("user_id") / 6), F.floor(F.col("value") / 6)
     free = t.events.where((y * 7 + x * 3) % 11 != 0).select((F.col("event_id") % 2).alias("g"), y.cast("long").alias("y"), x.cast("long").alias("x")).distinct()
-    return raster.middle_lines(free, "g")
+    return cells.middle_lines(free, "g")
 
 
 # --- evaluations -----------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from orrery.functions import geometry as G
 from orrery.functions.vectors import cosine
-from orrery.operators import asof, cluster, graph, raster, spatial
+from orrery.operators import asof, cells as cell_tables, cluster, graph, raster, spatial
 from orrery.plans.queries_relational import EDGES, PTS, VEC, points, r6, similar_edges, vecs
 from orrery.plans.tables import Tables, query
 
@@ -260,7 +260,7 @@ def r2(t: Tables) -> DataFrame:
 
 @query("r3_distance", f"WITH {CELLS}, b AS (SELECT g, min(y) - 1 AS y0, max(y) + 1 AS y1, min(x) - 1 AS x0, max(x) + 1 AS x1 FROM cells GROUP BY g), f AS (SELECT g, unnest(range(y0, y1 + 1)) AS y, x0, x1 FROM b), gr AS (SELECT g, y, unnest(range(x0, x1 + 1)) AS x FROM f), o AS (SELECT gr.* FROM gr ANTI JOIN cells c ON gr.g = c.g AND gr.y = c.y AND gr.x = c.x) SELECT c.g, c.y, c.x, round(min(sqrt((c.y - o.y) * (c.y - o.y) + (c.x - o.x) * (c.x - o.x))), 6) AS dist FROM cells c JOIN o ON c.g = o.g GROUP BY 1, 2, 3")
 def r3(t: Tables) -> DataFrame:
-    return raster.distances(cells(t), "g").select("g", "y", "x", F.round("dist", 6).alias("dist"))
+    return cell_tables.distances(cells(t), "g").select("g", "y", "x", F.round("dist", 6).alias("dist"))
 
 
 @query("r12_skeleton")
