@@ -174,3 +174,50 @@ def undirected(edges: DataFrame) -> DataFrame:
 def degrees(edges: DataFrame) -> DataFrame:
     """G13"""
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+
+
+# --- contraction (G10) --------------------------------------------------------------
+
+
+def cheapest_apart(edges: DataFrame, weight: str = "weight") -> DataFrame:
+    """The edges that are the cheapest at both their ends, ties to the least (src, dst): no two of them meet.
+
+    A sequential choice of the cheapest edge would take each of them before anything
+    that touches it, so a round of them equals that choice wherever edges are apart.
+    """
+    own = F.struct(F.col(weight), F.col("src"), F.col("dst"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"), own.alias("e"))
+    best = ends.groupBy("id").agg(F.min("e").alias("e"))
+    return best.groupBy("e").agg(F.count("*").alias("n")).where("n = 2").select("e.src", "e.dst", F.col(f"e.{weight}").alias(weight))
+
+
+def contracted(edges: DataFrame, chosen: DataFrame, weight: str = "weight", resum: str = "sum") -> DataFrame:
+    """The edge table after the chosen edges' greater ends became their lesser ends: no self edges, parallel edges one with the sum (or min, max) of their weights."""
+    into = chosen.select(F.greatest("src", "dst").alias("_from"), F.least("src", "dst").alias("_to"))
+    out = edges.select("src", "dst", weight)
+    for end in ("src", "dst"):
+        out = out.join(into.withColumnsRenamed({"_from": end}), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    out = out.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), weight)
+    return out.groupBy("src", "dst").agg(getattr(F, resum)(weight).alias(weight))
+
+
+def contract(edges: DataFrame, weight: str = "weight", most: float = float("inf"), resum: str = "sum", rounds: int = 1_000) -> tuple[DataFrame, DataFrame]:
+    """((id, parent) of every node on an edge, the edges left) after contracting in rounds what costs at most ``most``.
+
+    Every round contracts the edges that are cheapest at both ends; at least the
+    cheapest edge of all is one of them, and merged nodes' edges are summed anew.  A
+    node is named by the least id merged into it; self edges and null ends are
+    dropped.
+    """
+    edges = edges.where("src IS NOT NULL AND dst IS NOT NULL")
+    now = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), weight)
+    now = staged(now.groupBy("src", "dst").agg(getattr(F, resum)(weight).alias(weight)))
+    parents = staged(edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("parent", F.col("id")))
+    for _ in range(rounds):
+        chosen = staged(cheapest_apart(now, weight).where(F.col(weight) <= most))
+        if chosen.isEmpty():
+            return parents, now
+        into = chosen.select(F.greatest("src", "dst").alias("parent"), F.least("src", "dst").alias("_to"))
+        parents = staged(parents.join(into, "parent", "left").select("id", F.coalesce("_to", "parent").alias("parent")))
+        now = staged(contracted(now, chosen, weight, resum))
+    raise RuntimeError(f"edges were still contracted after {rounds} rounds")

@@ -51,3 +51,41 @@ def r11(t: Tables) -> DataFrame:
     """Free cells as edges, every seventeenth or so a node; each cell's node by steps."""
     rows = free_cells(t).withColumn("is_edge", (F.col("y") * 5 + F.col("x") * 3) % 17 != 0)
     return cells.territories(rows, "g").select("g", "y", "x", "id", "steps")
+
+
+# --- contraction and tight boxes ------------------------------------------------------------
+
+LINKS = "l AS (SELECT least(l_partkey, l_suppkey) AS src, greatest(l_partkey, l_suppkey) AS dst, sum(round(l_quantity)::BIGINT)::BIGINT AS weight FROM lineitem WHERE l_partkey <> l_suppkey GROUP BY 1, 2)"
+
+
+@query("g10_contracted", f"""
+WITH {LINKS}, en AS (SELECT unnest([src, dst]) AS id, weight, src, dst FROM l),
+be AS (SELECT id, arg_min({{'src': src, 'dst': dst}}, (weight, src, dst)) AS e FROM en GROUP BY id),
+ch AS (SELECT e.src AS src, e.dst AS dst FROM be GROUP BY 1, 2 HAVING count(*) = 2),
+re AS (SELECT coalesce(a.src, l.src) AS p, coalesce(b.src, l.dst) AS q, weight FROM l LEFT JOIN ch a ON a.dst = l.src LEFT JOIN ch b ON b.dst = l.dst)
+SELECT least(p, q) AS src, greatest(p, q) AS dst, sum(weight)::BIGINT AS weight FROM re WHERE p <> q GROUP BY 1, 2
+""")
+def g10(t: Tables) -> DataFrame:
+    """One round over the links of parts and suppliers by quantity: edges cheapest at both ends go, parallel ones are summed."""
+    from orrery.operators import graph
+
+    links = t.lineitem.where("l_partkey <> l_suppkey").groupBy(F.least("l_partkey", "l_suppkey").alias("src"), F.greatest("l_partkey", "l_suppkey").alias("dst")).agg(F.sum(F.round("l_quantity").cast("long")).alias("weight"))
+    links = staged(links)
+    return graph.contracted(links, staged(graph.cheapest_apart(links)))
+
+
+@query("e9_tight_boxes", """
+WITH p AS (SELECT c_nationkey AS nation, (c_custkey * 7919 % 1000)::DOUBLE AS x, (c_custkey * 104729 % 997)::DOUBLE AS y, c_acctbal AS z FROM customer),
+d AS (SELECT DISTINCT a.nation, (b.x - a.x) / sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS c, (b.y - a.y) / sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS s FROM p a JOIN p b ON a.nation = b.nation AND (a.x < b.x OR (a.x = b.x AND a.y < b.y))),
+r AS (SELECT d.nation, d.c, d.s, (max(x * c + y * s) - min(x * c + y * s)) * (max(y * c - x * s) - min(y * c - x * s)) AS area FROM d JOIN p ON p.nation = d.nation GROUP BY 1, 2, 3),
+z AS (SELECT nation, count(*) AS n, min(z) AS low, max(z) - min(z) AS height FROM p GROUP BY 1)
+SELECT z.nation, z.n, round((SELECT min(area) FROM r WHERE r.nation = z.nation) / 1e4, 4) AS area, round(z.low, 4) AS low, round(z.height, 4) AS height FROM z
+""")
+def e9(t: Tables) -> DataFrame:
+    """Customers as points of their nations' objects: the least upright boxes, and the height of the ground they stand on."""
+    from orrery.operators import hulls
+
+    key = F.col("c_custkey")
+    points = t.customer.select(F.col("c_nationkey").alias("nation"), (key * 7919 % 1000).cast("double").alias("x"), (key * 104729 % 997).cast("double").alias("y"), F.col("c_acctbal").alias("z"))
+    centre, _ = hulls.ground_plane()
+    return hulls.tight_boxes(points, "nation").select("nation", "n", F.round(F.col("ex") * F.col("ey") / 1e4, 4).alias("area"), F.round(centre[2], 4).alias("low"), F.round("ez", 4).alias("height"))
