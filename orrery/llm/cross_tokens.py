@@ -15,12 +15,14 @@ ends the other (``pair_bound``, about the bytes of both vocabularies): the table
 counts is bounded by the vocabularies, whatever the corpus, and goes to the tasks
 whole.
 
-Encoding goes by words.  A text may be cut at a single space between two characters
-that are not white space, since neither tokenizer has a token across such a cut
-(checked: A divides words there, no piece of B holds a space after another
-character; else texts stay whole), and frequent words are remembered.  Null and empty
-texts, and texts of which either tokenizer's joined bytes differ from the space and
-the text, have no tokens: zeros and an empty digest.
+The A file is read as byte-level ranks, which tiktoken encodes faster than the file's
+own library; equal ids are tested on every code point.  Texts are cut at single
+spaces between two characters that are not white space: neither tokenizer has a token
+across such a cut (checked: A divides words there, no piece of B holds a space after
+another character; else texts stay whole).  Texts beyond SEGMENT go in stretches, and
+words that a task has met before are remembered.
+Null and empty texts, and texts of which either tokenizer's joined bytes differ from
+the space and the text, have no tokens: zeros and an empty digest.
 Rows that repeat a doc_id are each aligned by themselves, told apart by a hash of
 the text; equal rows give equal results, one for each row, and each counts in the
 corpus.  A null doc_id is a key like others.  Other columns take no part.
@@ -29,9 +31,10 @@ corpus.  A null doc_id is a key like others.  Other columns take no part.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
-import os
 import re
+from array import array
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
@@ -44,10 +47,14 @@ from orrery.llm.common import keyed, partitions, staged, table
 
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text whose events are one row (longer only where no cut is), words remembered by a task, and the longest of them.
-SEGMENT, REMEMBERED, LONGEST = 1 << 16, 200_000, 40
+#: Characters of a stretch that is encoded at once (more only where no cut is), and bytes whose events are one row.
+SEGMENT = 1 << 16
+#: Words that a task remembers at once, and the longest of them.
+REMEMBERED, LONGEST = 500_000, 40
 #: Rows of documents handled together.
 TOGETHER = 256
+#: Fixed: how byte-level vocabularies of this kind divide a text into words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CUT = re.compile(r"(?<=\S) (?=\S)")
 EVENTS = "doc_id long, text_key long, start long, side int, ids binary"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>, times array<int>"
@@ -67,14 +74,19 @@ class Pair:
     a_path: str
     b_path: str
 
+    @cached_property
+    def description(self) -> dict:
+        with open(self.a_path, encoding="utf-8") as file:
+            return json.load(file)
+
     @cached_property
     def a(self):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one thread
-        from tokenizers import Tokenizer
+        """Byte-level BPE by ranks: merges come in the order of their ids."""
+        from tiktoken import Encoding
 
-        out = Tokenizer.from_file(self.a_path)
-        out.encode_special_tokens = True
-        return out
+        own = {t["content"] for t in self.description["added_tokens"]}
+        ranks = {x: i for i, x in enumerate(self.a_bytes) if x and x.decode(errors="replace") not in own}
+        return Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     @cached_property
     def b(self):
@@ -84,7 +96,8 @@ class Pair:
 
     @cached_property
     def a_bytes(self) -> list[bytes]:
-        chars, vocabulary = byte_of_char(), self.a.get_vocab(with_added_tokens=True)
+        chars, vocabulary = byte_of_char(), dict(self.description["model"]["vocab"])
+        vocabulary |= {t["content"]: t["id"] for t in self.description["added_tokens"]}
         out = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             out[i] = bytes(chars[c] for c in token) if all(c in chars for c in token) else token.encode()
@@ -97,8 +110,8 @@ class Pair:
 
     @cached_property
     def kind(self) -> str:
-        """What ids are packed as."""
-        return "<u2" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "<u4"
+        """What ids are packed as, by its code."""
+        return "H" if max(len(self.a_bytes), len(self.b_bytes)) <= 1 << 16 else "I"
 
     @cached_property
     def tables(self) -> tuple:
@@ -108,18 +121,34 @@ class Pair:
         return np.array([len(x) for x in self.a_bytes]), np.array([len(x) for x in self.b_bytes]), text(b";"), text(b","), text(b"|")
 
     @cached_property
-    def by_words(self) -> bool:
+    def may_cut(self) -> bool:
         """Whether cuts before single spaces change nothing: A's words end there, and no piece of B holds a space after another character."""
-        splits = json.loads(self.a.to_str()).get("pre_tokenizer") or {}
-        return splits.get("type") == "ByteLevel" and bool(splits.get("use_regex")) and all(b" " not in x.lstrip(b" ") for x in self.b_bytes)
+        return all(b" " not in x.lstrip(b" ") for x in self.b_bytes)
+
+    def stretches(self, text: str) -> list[str]:
+        """The text in parts of about SEGMENT characters, without the spaces at the cuts."""
+        out, at = [], 0
+        while self.may_cut and len(text) - at > SEGMENT and (cut := CUT.search(text, at + SEGMENT)):
+            out.append(text[at : cut.start()])
+            at = cut.end()
+        return [*out, text[at:]]
+
+    def words(self, parts: list[str]) -> list[list[str]]:
+        """Each part in words, between which it may be cut."""
+        if not self.may_cut:
+            return [[x] for x in parts]
+        out = [x.split(" ") for x in parts]
+        loose = {w for w in set().union(*out) if not w or w[0].isspace() or w[-1].isspace()}
+        return [words if loose.isdisjoint(words) else CUT.split(x) for x, words in zip(parts, out)]
 
     def encoded(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
         """The packed A and B ids of each word with a space before it; None if the bytes of either differ."""
-        out = []
-        for word, a, b in zip(words, self.a.encode_batch([f" {w}" for w in words], add_special_tokens=False), self.b.encode(words, num_threads=1)):
-            own, a = f" {word}".encode(), a.ids
-            same = b"".join([self.a_bytes[i] for i in a]) == own == b"".join([self.b_bytes[i] for i in b])
-            out.append((np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes()) if same else None)
+        out, kind = [], self.kind
+        for word, b in zip(words, self.b.encode(words, num_threads=1)):
+            own = f" {word}"
+            a, raw = self.a.encode_ordinary(own), own.encode()
+            same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
+            out.append((array(kind, a).tobytes(), array(kind, b).tobytes()) if same else None)
         return out
 
     def pair_bound(self) -> int:
@@ -138,40 +167,43 @@ def loaded(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def segments(words: list[str]):
-    """(first word, end, bytes) of stretches of about SEGMENT bytes."""
-    begin, size = 0, 0
-    for i, w in enumerate(words):
-        size += 1 + (len(w) if w.isascii() else len(w.encode()))
-        if size >= SEGMENT or i + 1 == len(words):
-            yield begin, i + 1, size
-            begin, size = i + 1, 0
-
-
 def token_ends(a_path: str, b_path: str):
-    """Documents to events: a row at -1 for each document, then for each stretch of text the ids of either side from its first byte on."""
+    """Documents to events: a row at -1 for each document, then for each SEGMENT bytes of text the ids of either side, from the first one's first byte on."""
 
     def encode(batches):
-        pair, squeeze = loaded(a_path, b_path), zstandard.ZstdCompressor(1).compress
+        pair = loaded(a_path, b_path)
+        squeeze = zstandard.ZstdCompressor(1).compress
+
+        def events(side: int, start: int, ids: np.ndarray):
+            first = np.cumsum(lengths := pair.tables[side][ids]) - lengths
+            for lo, hi in itertools.pairwise([*np.searchsorted(first, np.arange(0, first[-1] + 1, SEGMENT)).tolist(), len(ids)]):
+                if hi > lo:
+                    yield start + int(first[lo]), side, squeeze(ids[lo:hi].tobytes())
+
         memory: dict[str, tuple[bytes, bytes] | None] = {}
         for whole in batches:
             for batch in (whole.slice(at, TOGETHER) for at in range(0, whole.num_rows, TOGETHER)):
-                split = [(CUT.split(t) if pair.by_words else [t]) if t else [] for t in batch.column("text").to_pylist()]
+                parts = [pair.stretches(t) if t else [] for t in batch.column("text").to_pylist()]
+                words = pair.words([x for own in parts for x in own])
                 if len(memory) > REMEMBERED:
                     memory.clear()
-                new = list({w for words in split for w in words} - memory.keys())
-                known = dict(zip(new, pair.encoded(new)))
-                memory.update((w, x) for w, x in known.items() if len(w) <= LONGEST)
-                find = lambda w: known[w] if w in known else memory[w]  # noqa: E731, B023
+                fresh = list(set().union(*words).difference(memory))
+                known = dict(zip(fresh, pair.encoded(fresh)))
+                memory |= known
+                split = iter(words)
                 rows: list[tuple] = []
-                for doc, key, words in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), split):
+                for doc, key, own in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), parts):
                     rows.append((doc, key, -1, 0, b""))
-                    found = [find(w) for w in words]
-                    if None not in found:
+                    found = [[memory[w] for w in next(split)] for _ in own]
+                    if not any(None in x for x in found):
                         start = 0
-                        for lo, hi, size in segments(words):
-                            rows += [(doc, key, start, side, squeeze(b"".join([x[side] for x in found[lo:hi]]))) for side in (0, 1)]
-                            start += size
+                        for x in found:
+                            ids = [np.frombuffer(b"".join([w[side] for w in x]), pair.kind) for side in (0, 1)]
+                            rows += [(doc, key, *event) for side in (0, 1) for event in events(side, start, ids[side])]
+                            start += int(pair.tables[0][ids[0]].sum())
+                for w in known:
+                    if len(w) > LONGEST:
+                        del memory[w]
                 columns = zip(("doc_id", "text_key", "start", "side", "ids"), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))
                 yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(columns)})
 
@@ -207,7 +239,8 @@ class Sweep:
     def close(self) -> None:
         """Close the groups that end within both sides' tokens so far."""
         (a, b), (a_end, b_end) = self.ids, self.ends
-        common = np.intersect1d(a_end, b_end)
+        met = np.searchsorted(b_end, a_end)
+        common = a_end[(np.append(b_end, -1)[met] == a_end) & np.append(a_end[1:] != a_end[:-1], True)[: len(a_end)]]
         if not len(common):
             return
         na, nb = np.searchsorted(a_end, common[-1], side="right"), np.searchsorted(b_end, common[-1], side="right")

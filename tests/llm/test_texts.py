@@ -9,7 +9,6 @@ import zlib
 
 import duckdb
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from orrery.llm import cross_tokens, fill_middle, language
@@ -162,7 +161,7 @@ def plain_alignment(rows):
     from tokenizers import Tokenizer
 
     a, b = Tokenizer.from_file(FILES[0]), sentencepiece.SentencePieceProcessor(model_file=FILES[1])
-    a.encode_special_tokens = True
+    a.encode_special_tokens = True  # their strings are plain text
     chars = cross_tokens.byte_of_char()
     a_bytes = {i: bytes(chars[c] for c in t) if all(c in chars for c in t) else t.encode() for t, i in a.get_vocab().items()}
     out, links = [], []
@@ -222,7 +221,7 @@ def test_groups_span_rows_of_events():
 
     pair = cross_tokens.loaded(*FILES)
     text = " abcdefg" * 3 + " 中文字"
-    a, b = (np.array(x) for x in (pair.a.encode(text, add_special_tokens=False).ids, pair.b.encode(text[1:])))
+    a, b = (np.frombuffer(x, pair.kind) for x in pair.encoded([text[1:]])[0])
     whole, parted = (cross_tokens.Sweep(1, 2, pair) for _ in range(2))
     pack = lambda x: zstandard.compress(x.astype(pair.kind).tobytes())
     whole.take(0, 0, pack(a))
@@ -239,21 +238,39 @@ def test_groups_span_rows_of_events():
 
 def test_pairs_are_bounded(spark):
     pair = cross_tokens.loaded(*FILES)
-    assert pair.by_words and pair.pair_bound() < 500_000
+    assert pair.may_cut and pair.pair_bound() < 500_000
     ends = cross_tokens.aligned(spark.read.parquet(f"{SF}/documents.parquet"), *FILES).select(F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b").distinct().collect()
     for r in ends:
         x, y = pair.a_bytes[r["a"]], pair.b_bytes[r["b"]]
         assert x.endswith(y) or y.endswith(x)
 
 
-@pytest.mark.parametrize("at", [0, 1])
-def test_whole_texts_equal_words(at):
+def test_stretches_equal_whole_texts(monkeypatch):
     """Cutting at single spaces changes no token."""
-    pair = cross_tokens.loaded(*FILES)
-    for t in odd_texts(4 + at, 120):
+    pair, cuts = cross_tokens.loaded(*FILES), 0
+    for t in odd_texts(4, 200):
         if t:
-            words = pair.encoded(cross_tokens.CUT.split(t))
             whole = pair.encoded([t])[0]
-            assert (None in words) == (whole is None)
-            if whole:
-                assert b"".join(w[at] for w in words) == whole[at]
+            monkeypatch.setattr(cross_tokens, "SEGMENT", 5)
+            parts = pair.stretches(t)
+            monkeypatch.setattr(cross_tokens, "SEGMENT", 1 << 16)
+            cuts += len(parts) - 1
+            assert " ".join(parts) == t
+            for cut in (parts, [w for own in pair.words(parts) for w in own]):
+                found = pair.encoded(cut)
+                assert " ".join(cut) == t and (None in found) == (whole is None)
+                if whole:
+                    assert all(b"".join(x[at] for x in found) == whole[at] for at in (0, 1))
+    assert cuts > 200
+
+
+def test_every_code_point_encodes_as_the_file_says():
+    """Ranks with the stated pattern against the file's own library, each code point among letters, digits, signs and spaces."""
+    from tokenizers import Tokenizer
+
+    pair, own = cross_tokens.loaded(*FILES), Tokenizer.from_file(FILES[0])
+    own.encode_special_tokens = True
+    for lo in range(0, 0x110000, 1 << 14):
+        probes = [f" a{chr(c)}a 1{chr(c)}1 !{chr(c)}! {chr(c)} {chr(c)}{chr(c)}" for c in range(lo, lo + (1 << 14)) if not 0xD800 <= c < 0xE000]
+        for x, want in zip(probes, own.encode_batch(probes, add_special_tokens=False)):
+            assert pair.a.encode_ordinary(x) == want.ids
