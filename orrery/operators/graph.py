@@ -35,6 +35,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         now = staged(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return nodes.join(now.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
@@ -78,6 +80,8 @@ def bridge(nodes: DataFrame, edges: DataFrame, dims: list[str], gamma: float = 1
         new = staged(new)
         added = new if added is None else added.unionByName(new)
         links = links.unionByName(new.select("src", "dst"))
+    else:
+        raise RuntimeError(f"components are still apart after {rounds} rounds")
     return added if added is not None else edges.select("src", "dst", F.lit(0.0).alias("weight")).limit(0)
 
 
@@ -104,6 +108,8 @@ def shortest_path(edges: DataFrame, start: int, goal: int, weight: str = "weight
         reached = frontier.where(F.col("node") == goal).first()
         best = reached["cost"] if reached else best
         known = staged(known.join(frontier, "node", "left_anti").unionByName(frontier))
+    else:
+        raise RuntimeError(f"ways are still getting cheaper after {rounds} rounds")
     steps, at = [], goal
     row = known.where(F.col("node") == at).first()
     while row is not None:  # the path itself, one row a step
@@ -126,6 +132,8 @@ def closure(nodes: DataFrame, edges: DataFrame, depth: int = 16) -> DataFrame:
         if now.isEmpty():
             break
         out = out.unionByName(now)
+    else:
+        raise RuntimeError(f"the graph is more than {depth} levels deep")
     return out.distinct()
 
 
@@ -150,6 +158,8 @@ def bottom_regions(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> Data
         now = staged(rest.join(steps.where("below >= 2 AND below < above"), rest["id"] == steps["src"]).select("root", F.col("dst").alias("id")).distinct())
         if now.isEmpty():
             break
+    else:
+        raise RuntimeError("regions are more than 16 levels deep")
     return found.select("root", "id").distinct()
 
 

@@ -13,6 +13,8 @@ from orrery.operators.lineage import staged
 ALL_PAIRS = 1_000_000
 #: Right rows of a grid cell from which it is split.
 CELL_ROWS = 50_000
+#: Right rows that a right row shares its first cell with, on average and for each neighbour asked for, at most.
+SHARED = 8
 
 
 def cell(x: Column | str, size: float) -> Column:
@@ -30,30 +32,55 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, dims: Sequence
     """Pairs within ``radius``, the border included, as l.* and r.* with d2; equal in the columns ``by``.
 
     The left side is copied to the neighbouring cells, so give the smaller one
-    there; the right is dealt by cell alone.  Crowded cells are split: right rows of
-    a cell are dealt into ``salt`` parts and left rows go to each; without a number
-    the fullest cell is counted and parts hold about CELL_ROWS rows.
+    there; the right is dealt by cell alone.  Crowded cells, and only they, are split:
+    their right rows are dealt into parts of about CELL_ROWS, and left rows go to
+    each of the parts; with ``salt`` every cell is dealt into that many.
     """
     cells, keys = [f"_c{i}" for i in range(len(dims))], [f"_k{i}" for i in range(len(by))]
     around = F.array(*[F.struct(*[(cell(F.col(d), radius) + o).alias(c) for d, o, c in zip(dims, offset, cells)]) for offset in product((-1, 0, 1), repeat=len(dims))])
     far = right.select(F.struct(*[F.col(c) for c in right.columns]).alias("r"), *[cell(d, radius).alias(c) for d, c in zip(dims, cells)], *[F.col(b).alias(k) for b, k in zip(by, keys)])
-    if salt is None:
-        fullest = far.groupBy(*cells, *keys).count().agg(F.max("count")).first()[0]
-        salt = (fullest or 0) // CELL_ROWS + 1
+    full = far.groupBy(*cells, *keys).count()
+    crowded = staged(full.where(F.col("count") > CELL_ROWS if salt is None else F.lit(salt > 1)).select(*cells, *keys, (F.floor(F.col("count") / CELL_ROWS) + 1 if salt is None else F.lit(salt)).cast("int").alias("_parts")))
     near = left.select(F.struct(*[F.col(c) for c in left.columns]).alias("l"), F.explode(around).alias("_cell"), *[F.col(b).alias(k) for b, k in zip(by, keys)]).select("l", "_cell.*", *keys)
-    near = near.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    far = far.withColumn("_salt", F.pmod(F.xxhash64("r"), F.lit(salt)).cast("int"))
-    pairs = near.join(far, [*cells, *keys, "_salt"]).withColumn("d2", distance2(dims))
+    if crowded.isEmpty():
+        pairs = near.join(far, [*cells, *keys])
+    else:
+        parts = F.coalesce("_parts", F.lit(1))
+        near = near.join(crowded, [*cells, *keys], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+        far = far.join(crowded, [*cells, *keys], "left").withColumn("_salt", F.pmod(F.xxhash64("r"), parts).cast("int")).drop("_parts")
+        pairs = near.join(far, [*cells, *keys, "_salt"])
+    pairs = pairs.withColumn("d2", distance2(dims))
     return pairs.where(F.col("d2") <= radius * radius).select("l", "r", "d2")
 
 
+def first_size(right: DataFrame, dims: Sequence[str], by: Sequence[str], size: float, k: int) -> float:
+    """The largest of ``size`` and its halves at which a right position shares its cell with at most SHARED * k others on average.
+
+    Sizes are tried eight at a time, each by counts of its cells, so that far
+    outliers or dense spots do not put all rows into one cell.  Equal positions
+    count once, since no size parts them.
+    """
+    right = staged(right.select(*dims, *by).distinct())
+    for _ in range(8):
+        sizes = F.array(*[F.lit(size / 2**j) for j in range(8)])
+        rows = right.select(*dims, *by, F.posexplode(sizes).alias("_j", "_size"))
+        counts = rows.groupBy("_j", *by, *[F.floor(F.col(d) / F.col("_size")).alias(f"_c{i}") for i, d in enumerate(dims)]).count()
+        found = {r["_j"]: r["shared"] for r in counts.groupBy("_j").agg((F.sum(F.col("count") * F.col("count").cast("double")) / F.sum("count")).alias("shared")).collect()}
+        for j in range(8):
+            if found.get(j, 0.0) <= SHARED * k:
+                return size / 2**j
+        size /= 2**8
+    return size
+
+
 def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, dims: Sequence[str], by: Sequence[str] = (), k: int = 1, start: float | None = None, apart: str | None = None) -> DataFrame:
     """The k nearest right rows of each left row: (key, right_key, rank, d2); ties to the least right_key.
 
     ``by`` columns must be equal on both sides, the column ``apart`` must differ.  A grid is searched in rounds: cells
     are joined with their neighbours until k rows lie within one cell's size of a
-    left row; rows that lack them go on to cells twice as large, up to a size that
-    holds everything.  Only up to ALL_PAIRS pairs (counted) are all compared.  Rows
+    left row; rows that lack them go on to larger cells, up to a size that holds
+    everything, or until what is left comes to ALL_PAIRS.  The first size follows from how full cells are, not from the
+    whole extent alone.  Only up to ALL_PAIRS pairs (counted) are all compared.  Rows
     without a position match nothing.
     """
     by = list(by)
@@ -72,8 +99,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, dims: S
     volume = 1.0
     for span in spans:
         volume *= span
-    size, whole = start or (volume * k / max(n_right, 1)) ** (1 / len(dims)), sum(span * span for span in spans) ** 0.5
-    todo, done = left, None
+    size, whole = start or first_size(right, dims, by, (volume * k / max(n_right, 1)) ** (1 / len(dims)), k), sum(span * span for span in spans) ** 0.5
+    todo, done, rounds = left, None, 0
     while True:
         last = size >= whole  # all pairs lie within the size
         pairs = differ(radius_join(todo, right, size * (1 + 1e-9), dims, by=by))
@@ -83,9 +110,12 @@ def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, dims: S
         found = staged(found)
         done = found if done is None else done.unionByName(found)
         todo = staged(todo.join(found.select(key).distinct(), key, "left_anti"))
-        if last or todo.isEmpty():
+        rest = todo.count()
+        if last or not rest:
             return done
-        size *= 2
+        if rest * n_right <= ALL_PAIRS:
+            return done.unionByName(nearest(todo, right, key, right_key, dims, by, k, apart=apart))
+        size, rounds = size * (2 if rounds < 3 else 4), rounds + 1
 
 
 def _ranked(pairs: DataFrame, key: str, right_key: str, k: int) -> DataFrame:
