@@ -137,11 +137,11 @@ def e3(t: Tables) -> DataFrame:
     return m.select("q", "tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@query("e17_field_totals", f"WITH {SCORED}, b AS (SELECT vec_id, label, arg_max(q, (c, -q)) AS task, max(c) AS c FROM s GROUP BY 1, 2), n AS (SELECT label AS task, count(*) AS n FROM vec WHERE label < 8 AND vec_id >= 20 GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY c DESC, vec_id) AS r, max(c) OVER (PARTITION BY task) AS m FROM b), x AS (SELECT (SELECT count(*) FROM r JOIN n ON r.task = n.task WHERE r <= n AND r.label = r.task) / (SELECT sum(n) FROM n) AS a, (SELECT count(*) FILTER (label = task) / count(*) FROM r WHERE c > 0.9 * m) AS p) SELECT round(a, 6)::DOUBLE AS accuracy, round(p, 6)::DOUBLE AS precision, round(CASE WHEN a + p > 0 THEN 2 * a * p / (a + p) ELSE 0 END, 6)::DOUBLE AS f1 FROM x")
+@query("e17_field_totals", f"WITH {SCORED}, b AS (SELECT vec_id, label, arg_max(q, (c, -q)) AS task, max(c) AS c FROM s GROUP BY 1, 2), n AS (SELECT label AS task, count(*) AS n FROM vec WHERE label < 8 AND vec_id >= 8 GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY c DESC, vec_id) AS r, max(c) OVER (PARTITION BY task) AS m FROM b), x AS (SELECT (SELECT count(*) FROM r JOIN n ON r.task = n.task WHERE r <= n AND r.label = r.task) / (SELECT sum(n) FROM n) AS a, (SELECT count(*) FILTER (label = task) / count(*) FROM r WHERE c > 0.9 * m) AS p) SELECT round(a, 6)::DOUBLE AS accuracy, round(p, 6)::DOUBLE AS precision, round(CASE WHEN a + p > 0 THEN 2 * a * p / (a + p) ELSE 0 END, 6)::DOUBLE AS f1 FROM x")
 def e17(t: Tables) -> DataFrame:
     b = scored(t, F.col("vec_id") < 8).groupBy("vec_id", "label").agg(F.max(F.struct("c", (-F.col("q")).alias("n"))).alias("b"))
     judged = b.select((-F.col("b.n")).alias("task"), F.col("vec_id").alias("object"), F.col("b.c").alias("score"), (F.col("label") == -F.col("b.n")).alias("correct"))
-    truth = vecs(t).where("label < 8 AND vec_id >= 20").groupBy(F.col("label").alias("task")).agg(F.count("*").alias("n"))
+    truth = vecs(t).where("label < 8 AND vec_id >= 8").groupBy(F.col("label").alias("task")).agg(F.count("*").alias("n"))
     return E.field_totals(judged, truth).select(*[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "f1")])
 
 

@@ -130,20 +130,20 @@ def p6(t: Tables) -> DataFrame:
     return points(t).where(F.sqrt(x * x + y * y + z * z) < 40).select("event_id")
 
 
-@query("p10_surface_class", f"WITH {VEC}, s AS (SELECT p.vec_id, q.vec_id AS q, round(list_cosine_similarity(p.e, q.e), 9) AS c FROM vec p, vec q WHERE p.vec_id >= 20 AND q.vec_id < 4), b AS (SELECT vec_id, max(c) AS c, arg_max(q, (c, -q)) AS q FROM s GROUP BY 1) SELECT vec_id, (CASE WHEN c > 0.2 THEN q ELSE -1 END)::BIGINT AS surface FROM b")
+@query("p10_surface_class", f"WITH {VEC}, s AS (SELECT p.vec_id, q.vec_id AS q, round(list_cosine_similarity(p.e, q.e), 9) AS c FROM vec p, vec q WHERE p.vec_id >= 4 AND q.vec_id < 4), b AS (SELECT vec_id, max(c) AS c, arg_max(q, (c, -q)) AS q FROM s GROUP BY 1) SELECT vec_id, (CASE WHEN c > 0.2 THEN q ELSE -1 END)::BIGINT AS surface FROM b")
 def p10(t: Tables) -> DataFrame:
     best = scored(t, F.col("vec_id") < 4).groupBy("vec_id").agg(F.max(F.struct("c", (-F.col("q")).alias("neg"))).alias("b"))
     return best.select("vec_id", F.when(F.col("b.c") > 0.2, -F.col("b.neg")).otherwise(-1).cast("long").alias("surface"))
 
 
-def scored(t: Tables, queries, least: int = 20) -> DataFrame:
-    """(vec_id, q, c): cosine of every place with every query; the queries are few by their definition and broadcast."""
+def scored(t: Tables, queries) -> DataFrame:
+    """(vec_id, q, c): cosine of every place, which is every row that is no query, with every query; these are few by their definition and broadcast."""
     v = vecs(t)
     q = v.where(queries).select(F.col("vec_id").alias("q"), F.col("emb").alias("qe"))
-    return v.where(F.col("vec_id") >= least).join(F.broadcast(q), F.lit(True)).select("vec_id", "label", "q", F.round(cosine(F.col("emb"), F.col("qe")), 9).alias("c"))
+    return v.where(~queries).join(F.broadcast(q), F.lit(True)).select("vec_id", "label", "q", F.round(cosine(F.col("emb"), F.col("qe")), 9).alias("c"))
 
 
-SCORED = VEC + ", s AS (SELECT p.vec_id, p.label, q.vec_id AS q, round(list_cosine_similarity(p.e, q.e), 9) AS c FROM vec p, vec q WHERE p.vec_id >= 20 AND q.vec_id < 8)"
+SCORED = VEC + ", s AS (SELECT p.vec_id, p.label, q.vec_id AS q, round(list_cosine_similarity(p.e, q.e), 9) AS c FROM vec p, vec q WHERE p.vec_id >= 8 AND q.vec_id < 8)"
 
 
 @query("p11_task_relevance", f"WITH {SCORED} SELECT vec_id, (arg_max(q, (c, -q)) - 3)::BIGINT AS task_idx, max(c) AS score FROM s GROUP BY vec_id HAVING arg_max(q, (c, -q)) >= 3 AND max(c) > 0.1")
