@@ -49,23 +49,37 @@ CUES = {
 }
 PRECISION = 0.95
 TEMPLATES = 1200  #: labelled examples in all; half of them are held out for the thresholds
+#: Matches of one block of running sums.
+BLOCK = 256
 SPAN = "array<struct<lo:bigint,hi:bigint,hit:string>>"
 
 
 def found(kind: str, text: Column) -> Column:
-    """Leftmost non-overlapping matches with their positions, as SPAN."""
-    pattern = F.lit(PATTERNS[kind])
+    """Leftmost non-overlapping matches with their positions, as SPAN.
+
+    Positions are running sums over the pieces between matches, taken in blocks of
+    BLOCK: an array that grows by appending is copied at every step, so a long one
+    would cost its square.
+    """
+    pattern, none = F.lit(PATTERNS[kind]), F.expr(f"CAST(array() AS {SPAN})")
     pieces, hits = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"CAST(array() AS {SPAN})").alias("out"))
+    pairs = F.filter(F.zip_with(pieces, hits, lambda p, h: F.struct(p.alias("p"), h.alias("h"))), lambda x: x["h"].isNotNull())
+    size = lambda x: (F.length(x["p"]) + F.length(x["h"])).cast("long")
 
     def step(acc: Column, x: Column) -> Column:
-        lo = acc["at"] + F.length(x["p"])
-        hi = lo + F.length(x["h"])
-        return F.struct(hi.cast("long").alias("at"), F.concat(acc["out"], F.array(F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), x["h"].alias("hit")))).alias("out"))
-
-    pairs = F.filter(F.zip_with(pieces, hits, lambda p, h: F.struct(p.alias("p"), h.alias("h"))), lambda x: x["h"].isNotNull())
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(F.contains(text, F.lit(NEEDS[kind])), spans).otherwise(F.expr(f"CAST(array() AS {SPAN})")) if kind in NEEDS else spans
+        lo, hi = acc["at"] + F.length(x["p"]), acc["at"] + size(x)
+        return F.struct(hi.alias("at"), F.concat(acc["out"], F.array(F.struct(lo.cast("long").alias("lo"), hi.alias("hi"), x["h"].alias("hit")))).alias("out"))
+
+    def spans_of(pairs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(BLOCK)), lambda i: F.slice(pairs, i, BLOCK))
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda acc, x: acc + size(x)))
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("CAST(array() AS array<bigint>)").alias("out"))
+        starts = F.aggregate(sums, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, starts, lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+
+    # the pairs are one value of a lambda: written out, each use would match the text again
+    spans = F.flatten(F.transform(F.array(pairs), spans_of))
+    return F.when(F.contains(text, F.lit(NEEDS[kind])), spans).otherwise(none) if kind in NEEDS else spans
 
 
 def digits(x: Column) -> Column:

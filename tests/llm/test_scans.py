@@ -471,3 +471,12 @@ def test_registered_results(spark):
     for name, sql in ORACLE_SQL.items():
         assert difference(QUERIES[name](spark, SF).toPandas(), con.execute(sql).df()) == ""
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_spans_of_a_text_with_many_matches(spark):
+    """Running sums over several blocks of matches give the places that a plain scan gives."""
+    text = "".join(f"{'é' * (i % 5)} name{i}@example.org\n" for i in range(3 * pii.BLOCK + 7)) + "tail"
+    rows = [(1, text), (2, "a@b.cd " * pii.BLOCK), (3, "a@b.cd " * (pii.BLOCK + 1)), (4, "x@y.zz"), (5, "@")]
+    got = {r["doc_id"]: r["spans"] for r in pii.reported(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert got[i] == ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t))
