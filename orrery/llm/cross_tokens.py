@@ -143,11 +143,12 @@ class Pair:
 
     def encoded(self, words: list[str]) -> list[tuple[bytes, bytes] | None]:
         """The packed A and B ids of each word with a space before it; None if the bytes of either differ."""
-        out, kind = [], self.kind
+        out, kind, encode = [], self.kind, self.a.encode_ordinary
+        a_bytes, b_bytes, joined = self.a_bytes.__getitem__, self.b_bytes.__getitem__, b"".join
         for word, b in zip(words, self.b.encode(words, num_threads=1)):
             own = f" {word}"
-            a, raw = self.a.encode_ordinary(own), own.encode()
-            same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
+            a, raw = encode(own), own.encode()
+            same = joined(map(a_bytes, a)) == raw == joined(map(b_bytes, b))
             out.append((array(kind, a).tobytes(), array(kind, b).tobytes()) if same else None)
         return out
 
@@ -180,30 +181,35 @@ def token_ends(a_path: str, b_path: str):
                 if hi > lo:
                     yield start + int(first[lo]), side, squeeze(ids[lo:hi].tobytes())
 
-        memory: dict[str, tuple[bytes, bytes] | None] = {}
+        memory: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        spoiled: set[str] = set()  # words that come back as other bytes
         for whole in batches:
             for batch in (whole.slice(at, TOGETHER) for at in range(0, whole.num_rows, TOGETHER)):
                 parts = [pair.stretches(t) if t else [] for t in batch.column("text").to_pylist()]
                 words = pair.words([x for own in parts for x in own])
-                if len(memory) > REMEMBERED:
-                    memory.clear()
-                fresh = list(set().union(*words).difference(memory))
-                known = dict(zip(fresh, pair.encoded(fresh)))
-                memory |= known
+                if len(memory[0]) > REMEMBERED:
+                    for side in memory:
+                        side.clear()
+                fresh = list(set().union(*words).difference(memory[0]))
+                for w, ids in zip(fresh, pair.encoded(fresh)):
+                    memory[0][w], memory[1][w] = ids or (b"", b"")
+                    if ids is None:
+                        spoiled.add(w)
                 split = iter(words)
                 rows: list[tuple] = []
                 for doc, key, own in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), parts):
                     rows.append((doc, key, -1, 0, b""))
-                    found = [[memory[w] for w in next(split)] for _ in own]
-                    if not any(None in x for x in found):
+                    found = [next(split) for _ in own]
+                    if all(spoiled.isdisjoint(x) for x in found):
                         start = 0
                         for x in found:
-                            ids = [np.frombuffer(b"".join([w[side] for w in x]), pair.kind) for side in (0, 1)]
+                            ids = [np.frombuffer(b"".join(map(side.__getitem__, x)), pair.kind) for side in memory]
                             rows += [(doc, key, *event) for side in (0, 1) for event in events(side, start, ids[side])]
                             start += int(pair.tables[0][ids[0]].sum())
-                for w in known:
-                    if len(w) > LONGEST:
-                        del memory[w]
+                for w in fresh:
+                    if len(w) > LONGEST or w in spoiled:
+                        del memory[0][w], memory[1][w]
+                        spoiled.discard(w)
                 columns = zip(("doc_id", "text_key", "start", "side", "ids"), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))
                 yield pa.RecordBatch.from_pydict({c: pa.array([r[i] for r in rows], kind) for i, (c, kind) in enumerate(columns)})
 
@@ -297,8 +303,7 @@ def swept(a_path: str, b_path: str):
         now: Sweep | None = None
         for whole in batches:
             out, size = [], 0
-            for doc, key, start, side, ids in zip(*(whole.column(c) for c in ("doc_id", "text_key", "start", "side", "ids"))):
-                doc, key, start, side = doc.as_py(), key.as_py(), start.as_py(), side.as_py()
+            for doc, key, start, side, ids in zip(*(whole.column(c).to_pylist() for c in ("doc_id", "text_key", "start", "side", "ids"))):
                 if now is None or (doc, key) != (now.doc, now.key):
                     out += now.rows() if now else []
                     size += 12 * len(out[-1][-1]) if out else 0
@@ -306,7 +311,7 @@ def swept(a_path: str, b_path: str):
                 elif start < 0:
                     now.copies += 1
                 if start >= 0:
-                    now.take(start, side, ids.as_buffer())
+                    now.take(start, side, ids)
                 if size > 16 * SEGMENT:
                     yield packed(out)
                     out, size = [], 0
