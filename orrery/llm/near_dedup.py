@@ -7,10 +7,11 @@ left out, so every such pair shares a key.  At similarity 0.75 a pair stays with
 RADIUS but for a chance of about 1e-6.  Every link is confirmed on full sets.
 
 Documents with equal sets are one class from the start.  Classes that share a key,
-directly or over others, form a cluster of candidates; no candidate pair is ever
-written out.  A cluster's texts come to one place once, in blocks of bounded size
-(every two blocks of a large cluster together), and an inverted index of their
-shingles counts the exact intersections.
+directly or over others, come together, and their signatures are compared: those
+that differ in at most RADIUS symbols, directly or over others, are candidates.
+Only candidates' texts move, and an inverted index of their shingles counts the exact
+intersections.  Both comparisons go in blocks of bounded size, every two blocks of a
+large group in one place once, and no pair is written that follows from others.
 
 Null, empty and blank texts have the empty set, n_shingles 0, and are their own
 component.  Rows without doc_id take no part: component null, kept true.  Rows
@@ -122,8 +123,18 @@ def shared_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(lead[give]), pa.array(ids[give])], names=["src", "dst"])
 
 
-def links_between(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links of the similarity between sets marked left and sets marked right that join what was apart; the rest follow from them.
+def similar(both: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
+    """Where sets with ``both`` elements in common reach the similarity."""
+    return 100 * both >= PERCENT * (size + sizes - both)
+
+
+def within_radius(both: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
+    """Where signatures with ``both`` equal symbols differ in at most RADIUS."""
+    return both >= SYMBOLS - RADIUS
+
+
+def links_between(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, enough=similar) -> list[tuple[int, int]]:
+    """Links between sets marked left and sets marked right that join what was apart; the rest follow from them.
 
     Exact intersections of one set with all others come from an inverted index.
     """
@@ -147,8 +158,7 @@ def links_between(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
         lo, n = starts[terms], starts[terms + 1] - starts[terms]
         where = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         both = np.bincount(posting[where], minlength=len(sets))
-        linked = (100 * both >= PERCENT * (sizes[i] + sizes - both)) & right
-        for j in np.flatnonzero(linked).tolist():
+        for j in np.flatnonzero(enough(both, sizes[i], sizes) & right).tolist():
             a, b = find(i), find(j)
             if a != b:
                 root[b] = a
@@ -156,52 +166,78 @@ def links_between(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return out
 
 
-def verified(batches):
-    """(src, dst) from candidate rows (cluster, lo, hi, block, id, text) sorted by (cluster, lo, hi): confirmed links of each pair of blocks."""
+def symbol_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Each signature as the set of its symbols, every one marked with its place."""
+    marked = data.view(np.uint32).reshape(-1, SYMBOLS).astype(np.uint64) | np.arange(SYMBOLS, dtype=np.uint64) << np.uint64(32)
+    return list(marked)
+
+
+def links_of(column: str, sets_of, enough):
+    """Rows (cluster, lo, hi, block, id, column) sorted by (cluster, lo, hi) to (src, dst): links within each pair of blocks."""
 
     def solve(rows):
         _, lo, hi = rows[0][0]
         block, ids = np.array([r[1] for r in rows]), [r[2] for r in rows]
-        found = links_between([r[3] for r in rows], block == lo, block == hi)
+        found = links_between([r[3] for r in rows], block == lo, block == hi, enough)
         return [(ids[i], ids[j]) for i, j in found if ids[i] != ids[j]]
 
-    group: list[tuple] = []
-    seen: set[int] = set()
-    for whole in batches:
-        out = []
-        for batch in slices(whole):
-            sets = shingle_sets(*text_bytes(batch.column("text")))
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "lo", "hi"))))
-            for key, block, doc, members in zip(keys, batch.column("block").to_pylist(), batch.column("id").to_pylist(), sets):
-                if group and group[0][0] != key:
-                    out += solve(group)
-                    group, seen = [], set()
-                if doc not in seen:  # equal rows bring a text more than once
-                    group.append((key, block, doc, members))
-                    seen.add(doc)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["src", "dst"])
-    if group:
-        out = solve(group)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["src", "dst"])
+    def work(batches):
+        group: list[tuple] = []
+        seen: set[int] = set()
+        for whole in batches:
+            out = []
+            for batch in slices(whole, column):
+                sets = sets_of(*text_bytes(batch.column(column)))
+                keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "lo", "hi"))))
+                for key, block, member, elements in zip(keys, batch.column("block").to_pylist(), batch.column("id").to_pylist(), sets):
+                    if group and group[0][0] != key:
+                        out += solve(group)
+                        group, seen = [], set()
+                    if member not in seen:  # equal rows bring a text more than once
+                        group.append((key, block, member, elements))
+                        seen.add(member)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["src", "dst"])
+        if group:
+            out = solve(group)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["src", "dst"])
+
+    return work
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """members (cluster, id, size, more) as (cluster, lo, hi, block, id, more): once for each pair of blocks that theirs is in."""
+    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other", "size")
+
+
+def links_in_blocks(met: DataFrame, column: str, sets_of, enough) -> DataFrame:
+    """(src, dst), written, of rows as ``in_blocks`` gives them."""
+    dealt = met.select("cluster", "lo", "hi", "block", "id", column).repartition(partitions(met.sparkSession), "cluster", "lo", "hi")
+    return staged(dealt.sortWithinPartitions("cluster", "lo", "hi").mapInArrow(links_of(column, sets_of, enough), "src long, dst long"))
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(id, cluster) of classes (id, sig) with another's signature within RADIUS; a cluster holds all that are so near, directly or over others."""
+    keys = classes.select("id", "sig").mapInArrow(keys_of, "key long, id long")
+    dealt = keys.repartition(partitions(classes.sparkSession), "key").sortWithinPartitions("key", "id")
+    stars = staged(dealt.mapInArrow(shared_keys, "src long, dst long").distinct())
+    met = components(stars).toDF("id", "cluster").join(classes.select("id", "sig"), "id").withColumn("size", F.lit(SYMBOLS))
+    return components(links_in_blocks(in_blocks(staged(met)), "sig", symbol_sets, within_radius)).toDF("id", "cluster")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_shingles, text_group, first) for every row: the group of its text over links between texts, null without words, and the least doc_id there."""
-    n = partitions(docs.sparkSession)
     docs = keyed(docs)
     all_rows = staged(docs.mapInArrow(describe, "doc_id long, text_key long, n_shingles long, h1 long, h2 long, sig binary"))
     least = F.struct("doc_id", "text_key")
     classes = all_rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("n_shingles", "h1", "h2").agg(F.min_by("sig", least).alias("sig"), F.min(least).alias("least"))
     classes = staged(classes.select(F.xxhash64("n_shingles", "h1", "h2").alias("id"), "n_shingles", "h1", "h2", "sig", "least.doc_id", "least.text_key"))
-    keys = classes.select("id", "sig").mapInArrow(keys_of, "key long, id long")
-    stars = staged(keys.repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(shared_keys, "src long, dst long").distinct())
-    cluster = staged(components(stars).toDF("id", "cluster").join(classes.select("id", "n_shingles", "doc_id", "text_key"), "id"))
-    blocks = cluster.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = cluster.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cluster = staged(candidates(classes).join(classes.select("id", F.col("n_shingles").alias("size"), "doc_id", "text_key"), "id"))
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    met = placed.select("id", "doc_id", "text_key", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).hint("merge").join(texts, ["doc_id", "text_key"])
-    met = met.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "text")
-    edges = staged(met.repartition(n, "cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(verified, "src long, dst long"))
+    met = in_blocks(cluster).hint("merge").join(texts, ["doc_id", "text_key"])
+    edges = links_in_blocks(met, "text", shingle_sets, similar)
     placed = classes.join(components(edges), "id", "left").select("n_shingles", "h1", "h2", "doc_id", F.coalesce("component", "id").alias("text_group"))
     firsts = placed.groupBy("text_group").agg(F.min("doc_id").alias("first"))
     found = placed.drop("doc_id").join(firsts, "text_group")

@@ -93,6 +93,32 @@ def test_pairs_within_the_radius_share_a_key():
         assert set(out[out.id == 0].key) & set(out[out.id == 1].key)
 
 
+def test_signatures_beyond_the_radius_are_no_candidates(spark):
+    """Texts that share a third of their words share keys, but not a signature within the radius."""
+    import pyarrow as pa
+
+    from orrery.llm.common import binary_column
+
+    rng = np.random.default_rng(12)
+    common = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.concatenate([common, rng.integers(0, 1 << 63, 240, dtype=np.uint64)]) for _ in range(120)]
+    near = [np.concatenate([s[20:], rng.integers(0, 1 << 63, 20, dtype=np.uint64)]) for s in sets[:10]]
+    sig = near_dedup.signatures(sets + near)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sig))), binary_column(sig.ravel(), np.arange(len(sig) + 1) * near_dedup.SYMBOLS)], names=["id", "sig"])
+    keys = next(near_dedup.keys_of([batch])).to_pandas()
+    sharing = {x for _, ids in keys.groupby("key").id if len(ids) > 1 for x in ids}
+    assert len(sharing) > 100  # keys alone would bring nearly all together
+    distance = (sig[:, None] != sig[None]).sum(axis=2)
+    root = list(range(len(sig)))
+    for i, j in zip(*np.nonzero(distance <= near_dedup.RADIUS)):
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    want = {i: root[i] for i in range(len(sig)) if root.count(root[i]) > 1}
+    for rows in (batch.to_pylist(), batch.to_pylist()[::-1]):
+        got = {r["id"]: r["cluster"] for r in near_dedup.candidates(spark.createDataFrame([(r["id"], bytearray(r["sig"])) for r in rows], "id long, sig binary")).collect()}
+        assert got == want and len(got) < 40 and all(got[i] == got[120 + i] for i in range(10))
+
+
 def test_keys_over_batches():
     import pyarrow as pa
 
