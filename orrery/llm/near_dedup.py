@@ -11,7 +11,7 @@ directly or over others, come together, and their signatures are compared: those
 that differ in at most RADIUS symbols, directly or over others, are candidates.
 Only candidates' texts move, and an inverted index of their shingles counts the exact
 intersections.  Both comparisons go in blocks of bounded size, every two blocks of a
-large group in one place once, and no pair is written that follows from others.
+large group in one place once; what is in one group already is not compared again.
 
 Null, empty and blank texts have the empty set, n_shingles 0, and are their own
 component.  Rows without doc_id take no part: component null, kept true.  Rows
@@ -123,63 +123,76 @@ def shared_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(lead[give]), pa.array(ids[give])], names=["src", "dst"])
 
 
-def similar(both: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
-    """Where sets with ``both`` elements in common reach the similarity."""
-    return 100 * both >= PERCENT * (size + sizes - both)
-
-
-def within_radius(both: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
-    """Where signatures with ``both`` equal symbols differ in at most RADIUS."""
-    return both >= SYMBOLS - RADIUS
-
-
-def links_between(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, enough=similar) -> list[tuple[int, int]]:
-    """Links between sets marked left and sets marked right that join what was apart; the rest follow from them.
-
-    Exact intersections of one set with all others come from an inverted index.
-    """
+def similar(sets: list[np.ndarray]):
+    """linked(i, others): which of others reach the similarity to set i, by exact intersections from an inverted index."""
     sizes = np.array([len(s) for s in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, term = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(term, kind="stable")
     posting, starts = owner[order], np.concatenate([[0], np.cumsum(np.bincount(term))])
     at = np.concatenate([[0], np.cumsum(sizes)])
-    root = list(range(len(sets)))
+    last, both = -1, sizes
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
+    def linked(i: int, others: np.ndarray) -> np.ndarray:
+        nonlocal last, both
+        if i != last:
+            terms = term[at[i] : at[i + 1]]
+            lo, n = starts[terms], starts[terms + 1] - starts[terms]
+            where = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            last, both = i, np.bincount(posting[where], minlength=len(sets))
+        return 100 * both[others] >= PERCENT * (sizes[i] + sizes[others] - both[others])
 
-    out = []
+    return linked
+
+
+def within_radius(rows: list[np.ndarray]):
+    """linked(i, others): which of others, ascending, differ from signature i in at most RADIUS symbols."""
+    symbols = np.ascontiguousarray(np.stack(rows).T)
+
+    def linked(i: int, others: np.ndarray) -> np.ndarray:
+        lo, hi = others[0], others[-1] + 1
+        return np.add.reduce(symbols[:, lo:hi] != symbols[:, i : i + 1], axis=0, dtype=np.uint8)[others - lo] <= RADIUS
+
+    return linked
+
+
+def joined(left: np.ndarray, right: np.ndarray, linked) -> np.ndarray:
+    """Each item's group, the least index in it, over links between items marked left and items marked right.
+
+    What is already in one group is not compared: near copies of one text cost one comparison each.
+    """
+    label = np.arange(len(left))
+    within = np.array_equal(left, right)
     for i in np.flatnonzero(left).tolist():
-        terms = term[at[i] : at[i + 1]]
-        lo, n = starts[terms], starts[terms + 1] - starts[terms]
-        where = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        both = np.bincount(posting[where], minlength=len(sets))
-        for j in np.flatnonzero(enough(both, sizes[i], sizes) & right).tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                root[b] = a
-                out.append((i, j))
-    return out
+        apart = right & (label != label[i])
+        if within:
+            apart[: i + 1] = False
+        others, size = np.flatnonzero(apart), 64
+        while len(others):
+            now, others = others[:size], others[size:]
+            found = now[linked(i, now)]
+            if len(found):
+                touched = np.unique(np.append(label[found], label[i]))
+                label[np.isin(label, touched)] = touched[0]
+                others = others[label[others] != label[i]]
+            size *= 4
+    return label
 
 
-def symbol_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Each signature as the set of its symbols, every one marked with its place."""
-    marked = data.view(np.uint32).reshape(-1, SYMBOLS).astype(np.uint64) | np.arange(SYMBOLS, dtype=np.uint64) << np.uint64(32)
-    return list(marked)
+def symbols_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """The symbols of each signature."""
+    return list(data.view(np.uint32).reshape(-1, SYMBOLS))
 
 
-def links_of(column: str, sets_of, enough):
-    """Rows (cluster, lo, hi, block, id, column) sorted by (cluster, lo, hi) to (src, dst): links within each pair of blocks."""
+def links_of(column: str, elements_of, links):
+    """Rows (cluster, lo, hi, block, id, column) sorted by (cluster, lo, hi) to (src, dst): what a pair of blocks joins, as the least id of each group and its others."""
 
     def solve(rows):
         _, lo, hi = rows[0][0]
+        rows = sorted(rows, key=lambda r: r[2])
         block, ids = np.array([r[1] for r in rows]), [r[2] for r in rows]
-        found = links_between([r[3] for r in rows], block == lo, block == hi, enough)
-        return [(ids[i], ids[j]) for i, j in found if ids[i] != ids[j]]
+        label = joined(block == lo, block == hi, links([r[3] for r in rows]))
+        return [(ids[k], ids[i]) for i, k in enumerate(label.tolist()) if i != k]
 
     def work(batches):
         group: list[tuple] = []
@@ -187,9 +200,9 @@ def links_of(column: str, sets_of, enough):
         for whole in batches:
             out = []
             for batch in slices(whole, column):
-                sets = sets_of(*text_bytes(batch.column(column)))
+                described = elements_of(*text_bytes(batch.column(column)))
                 keys = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "lo", "hi"))))
-                for key, block, member, elements in zip(keys, batch.column("block").to_pylist(), batch.column("id").to_pylist(), sets):
+                for key, block, member, elements in zip(keys, batch.column("block").to_pylist(), batch.column("id").to_pylist(), described):
                     if group and group[0][0] != key:
                         out += solve(group)
                         group, seen = [], set()
@@ -212,10 +225,10 @@ def in_blocks(members: DataFrame) -> DataFrame:
     return met.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("blocks", "other", "size")
 
 
-def links_in_blocks(met: DataFrame, column: str, sets_of, enough) -> DataFrame:
+def links_in_blocks(met: DataFrame, column: str, elements_of, links) -> DataFrame:
     """(src, dst), written, of rows as ``in_blocks`` gives them."""
     dealt = met.select("cluster", "lo", "hi", "block", "id", column).repartition(partitions(met.sparkSession), "cluster", "lo", "hi")
-    return staged(dealt.sortWithinPartitions("cluster", "lo", "hi").mapInArrow(links_of(column, sets_of, enough), "src long, dst long"))
+    return staged(dealt.sortWithinPartitions("cluster", "lo", "hi").mapInArrow(links_of(column, elements_of, links), "src long, dst long"))
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -224,7 +237,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     dealt = keys.repartition(partitions(classes.sparkSession), "key").sortWithinPartitions("key", "id")
     stars = staged(dealt.mapInArrow(shared_keys, "src long, dst long").distinct())
     met = components(stars).toDF("id", "cluster").join(classes.select("id", "sig"), "id").withColumn("size", F.lit(SYMBOLS))
-    return components(links_in_blocks(in_blocks(staged(met)), "sig", symbol_sets, within_radius)).toDF("id", "cluster")
+    return components(links_in_blocks(in_blocks(staged(met)), "sig", symbols_of, within_radius)).toDF("id", "cluster")
 
 
 def grouped(docs: DataFrame) -> DataFrame:

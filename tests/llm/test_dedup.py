@@ -119,6 +119,19 @@ def test_signatures_beyond_the_radius_are_no_candidates(spark):
         assert got == want and len(got) < 40 and all(got[i] == got[120 + i] for i in range(10))
 
 
+def test_groups_within_and_between_blocks():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 90, 400):
+        links = rng.random((n, n)) < 1.2 / n
+        links |= links.T
+        for left, right in ((np.ones(n, bool),) * 2, (np.arange(n) % 3 == 0, np.arange(n) % 3 > 0)):
+            root = list(range(n))
+            for i, j in zip(*np.nonzero(links & (left[:, None] & right | right[:, None] & left))):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+            assert near_dedup.joined(left, right, lambda i, others: links[i, others]).tolist() == root
+
+
 def test_keys_over_batches():
     import pyarrow as pa
 
